@@ -51,7 +51,7 @@ def _allowed_texts(text: str, fields: str | None, refs: str | None, strict: bool
 
 def _allowed_canons(text: str, fields: str | None, refs: str | None, strict: bool) -> Column:
     found = F.flatten(F.transform(_allowed_texts(text, fields, refs, strict), number_tokens))
-    return F.array_distinct(F.transform(found, canon_token))
+    return F.array_distinct(F.transform(found, lambda tok: canon_token(tok)))
 
 
 def whitelist(
