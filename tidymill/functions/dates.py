@@ -51,18 +51,21 @@ def parse_date(col: Column) -> Column:
 
 def spark_pattern(output_format: str | None) -> str:
     """Translate ``YYYY-MM-DD`` or strftime codes into a Spark datetime pattern."""
-    text = output_format or "YYYY-MM-DD"
-    out: list[str] = []
-    for piece in re.findall(r"YYYY|MM|DD|%[A-Za-z]|[^%A-Za-z]+|.", text):
+    out, literal = [], ""
+
+    def flush() -> str:
+        quoted = literal.replace("'", "''")
+        return f"'{quoted}'" if literal else ""
+
+    for piece in re.findall(r"YYYY|MM|DD|%[A-Za-z]|.", output_format or "YYYY-MM-DD", re.S):
         if piece in _FORMAT_TOKENS:
-            out.append(_FORMAT_TOKENS[piece])
-        elif piece.startswith("%") and len(piece) == 2:
+            out += [flush(), _FORMAT_TOKENS[piece]]
+            literal = ""
+        elif len(piece) == 2:
             raise ValueError(f"不支持的日期格式符「{piece}」")
-        elif re.fullmatch(r"[-/:. ]+", piece):
-            out.append(piece)
         else:
-            out.append("'" + piece.replace("'", "''") + "'")
-    return "".join(out)
+            literal += piece
+    return "".join([*out, flush()])
 
 
 def format_date(col: Column, output_format: str | None = None) -> Column:

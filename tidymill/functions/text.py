@@ -43,7 +43,12 @@ def is_missing(col: Column) -> Column:
 
 def to_number(col: Column) -> Column:
     """Parse text as DOUBLE, ignoring thousands commas; null when it is not a number."""
-    bare = F.replace(strip(col), F.lit(","), F.lit(""))
+    return parse_number(strip(col))
+
+
+def parse_number(text: Column) -> Column:
+    """``to_number`` for text that is trimmed already."""
+    bare = F.replace(text, F.lit(","), F.lit(""))
     return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
 
 
@@ -103,9 +108,9 @@ def format_value(value: Column) -> Column:
 
 def short_number(value: Column) -> Column:
     """Six significant digits, like printf's ``%g``: plain between 1e-4 and 1e6, else exponent."""
-    size = F.floor(F.log10(F.abs(value))).cast("int")
-    scale = F.pow(F.lit(10.0), (5 - size).cast("double"))
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(value))).cast("double"))
     rounded = F.round(value * scale, 0) / scale
+    size = F.floor(F.log10(F.abs(rounded))).cast("int")  # rounding may have added a digit
     plain = F.rtrim(
         F.rtrim(rounded.try_cast("decimal(38,12)").cast("string"), F.lit("0")), F.lit(".")
     )

@@ -39,25 +39,35 @@ def small_side(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= MAX_BROADCAST_FIELDS else frame
 
 
-def first_k(frame: DataFrame, keys: Sequence[str], k: int, groups: int) -> DataFrame:
+def band() -> Column:
+    """Power-of-two band of ``row_no``: at most 64 of them, whatever the table size."""
+    return F.floor(F.log2(F.greatest(F.col(ROW_NO), F.lit(1)).cast("double")))
+
+
+def first_k(
+    frame: DataFrame, keys: Sequence[str], k: int, groups: int, bands: DataFrame | None = None
+) -> DataFrame:
     """The ``k`` rows with the lowest ``row_no`` per group, as column ``rank`` = 1..k.
 
-    Row numbers are counted per power of two first (at most 64 counts per group), which bounds
-    where the k-th row lies; only rows up to that bound are ranked, not the whole group.
+    Row numbers are counted per band first (``bands`` passes such counts in when they exist as
+    ``keys, _band, _n``), which bounds where the k-th row lies; only rows up to that bound are
+    ranked, not the whole group.
     """
-    band = F.floor(F.log2(F.greatest(F.col(ROW_NO), F.lit(1)).cast("double")))
+    if bands is None:
+        bands = (
+            frame.select(*keys, band().alias("_band"))
+            .groupBy(*keys, "_band")
+            .agg(F.count("*").alias("_n"))
+        )
     by_group = Window.partitionBy(*keys)
-    counted = (
-        frame.select(*keys, band.alias("_band")).groupBy(*keys, "_band").agg(F.count("*").alias("_n"))
-    )
     seen = F.sum("_n").over(by_group.orderBy("_band"))
     bound = (
-        counted.select(*keys, "_band", (seen - F.col("_n")).alias("_before"))
+        bands.select(*keys, "_band", (seen - F.col("_n")).alias("_before"))
         .where(F.col("_before") < k)
         .groupBy(*keys)
         .agg(F.max("_band").alias("_last"))
     )
-    near = frame.join(small_side(bound, groups), list(keys)).where(band <= F.col("_last"))
+    near = frame.join(small_side(bound, groups), list(keys)).where(band() <= F.col("_last"))
     rank = F.row_number().over(by_group.orderBy(ROW_NO))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("_last")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidymill.functions import dates as D
 from tidymill.functions import text as T
-from tidymill.operators.cells import cells, field_position, first_k, samples
+from tidymill.operators.cells import band, cells, field_position, first_k, samples, small_side
 from tidymill.sources.numbering import data_columns
 
 SAMPLE_VALUES = 3
@@ -21,13 +21,18 @@ def field_stats(df: DataFrame) -> DataFrame:
     """Per column: position, missing count, missing rate and the first three raw values."""
     columns = data_columns(df)
     long = cells(df)
-    counts = long.groupBy("field").agg(
+    # one pass counts per column and band; its totals and the bounds for the samples follow from it
+    banded = long.groupBy("field", band().alias("_band")).agg(
         F.count("*").alias("total"), F.count_if("missing").alias("missing_cnt")
     )
-    first = first_k(long.where(~F.col("missing")), ["field"], SAMPLE_VALUES, len(columns))
+    counts = banded.groupBy("field").agg(
+        F.sum("total").alias("total"), F.sum("missing_cnt").alias("missing_cnt")
+    )
+    filled = banded.select("field", "_band", (F.col("total") - F.col("missing_cnt")).alias("_n"))
+    first = first_k(long.where(~F.col("missing")), ["field"], SAMPLE_VALUES, len(columns), filled)
     shown = samples(first, ["field"], "value", "sample_values")
     rate = F.round(F.col("missing_cnt") / F.col("total"), 4)
-    return counts.join(F.broadcast(shown), "field", "left").select(
+    return counts.join(small_side(shown, len(columns)), "field", "left").select(
         field_position(columns).alias("position"),
         F.col("field").alias("field_name"),
         "missing_cnt",
@@ -77,7 +82,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     names = F.explode(F.array(*[F.lit(c) for c in columns]))
     every = df.sparkSession.range(1).select(names.alias("field"))
     found = counts.select("field", label.alias("inferred_type"), hint.alias("hint"))
-    return every.join(F.broadcast(found), "field", "left").select(
+    return every.join(small_side(found, len(columns)), "field", "left").select(
         field_position(columns).alias("position"),
         F.col("field").alias("field_name"),
         F.coalesce("inferred_type", F.lit("text")).alias("inferred_type"),

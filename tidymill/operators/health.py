@@ -56,15 +56,17 @@ def field_profile(df: DataFrame) -> DataFrame:
     if not columns:
         raise ValueError("文件内容为空，无法体检")
     text, there = F.col("text"), ~F.col("missing")
-    number = F.when(there, T.to_number(text))
+    number = F.when(there, T.parse_number(text))
     dated = there & text.rlike(D.DATE_TEXT)
     long = cells(df).withColumns({"number": number, "dated": dated})
     bad_phone = _in(columns_like(df, PHONE_WORDS)) & there & ~text.rlike(T.PHONE)
     bad_idcard = _in(columns_like(df, IDCARD_WORDS)) & there & ~text.rlike(T.IDCARD)
-    styles = [
-        F.count_if(F.col("dated") & text.contains(mark)).alias(f"{style}_cnt")
-        for style, mark in D.DATE_STYLES.items()
-    ]
+    styles, first_rows = [], []
+    for style, mark in D.DATE_STYLES.items():
+        hit = F.col("dated") & text.contains(mark)
+        styles.append(F.count_if(hit).alias(f"{style}_cnt"))
+        first_rows.append(F.min(F.when(hit, F.col(ROW_NO))).alias(f"{style}_row"))
+    thousands = there & text.rlike(T.THOUSANDS)
     return (
         long.groupBy("field")
         .agg(
@@ -73,9 +75,11 @@ def field_profile(df: DataFrame) -> DataFrame:
             F.count("number").alias("number_cnt"),
             F.avg("number").alias("mean"),
             F.stddev_pop("number").alias("std"),
-            F.count_if(there & text.rlike(T.THOUSANDS)).alias("thousands_cnt"),
+            F.count_if(thousands).alias("thousands_cnt"),
+            F.min(F.when(thousands, F.col(ROW_NO))).alias("thousands_row"),
             F.count_if("dated").alias("date_cnt"),
             *styles,
+            *first_rows,
             F.count_if(there & (F.col("value") != text)).alias("space_cnt"),
             F.count_if(bad_phone).alias("phone_cnt"),
             F.count_if(bad_idcard).alias("idcard_cnt"),
@@ -167,8 +171,24 @@ def duplicate_samples(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 # --- anomalies ---------------------------------------------------------------------------------
 
 
-def _numeric_bounds(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
-    measured = [c for c in columns if not named_like(c, ID_WORDS)]
+def numeric_stats(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """n, mean, population deviation and mean ± 3σ of the columns that are measures.
+
+    Without a ready profile only the candidate columns are scanned, for these figures alone.
+    """
+    measured = [c for c in data_columns(df) if not named_like(c, ID_WORDS)]
+    if profile is None:
+        number = F.when(~F.col("missing"), T.parse_number(F.col("text")))
+        profile = (
+            cells(df, measured)
+            .groupBy("field")
+            .agg(
+                F.count_if(~F.col("missing")).alias("filled"),
+                F.count(number).alias("number_cnt"),
+                F.avg(number).alias("mean"),
+                F.stddev_pop(number).alias("std"),
+            )
+        )
     return profile.where(
         _in(measured)
         & (F.col("filled") >= NUMERIC_MIN_ROWS)
@@ -183,11 +203,6 @@ def _numeric_bounds(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def numeric_stats(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """n, mean, population deviation and mean ± 3σ of the columns that are measures."""
-    return _numeric_bounds(profile if profile is not None else field_profile(df), data_columns(df))
-
-
 def flagged_cells(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Every anomalous cell with its two verdicts ``rule`` and ``sigma``; nothing is capped."""
     columns = data_columns(df)
@@ -198,7 +213,7 @@ def flagged_cells(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     numbers = (
         cells(df, candidates)
         .where(~F.col("missing"))
-        .withColumn("number", T.to_number(F.col("text")))
+        .withColumn("number", T.parse_number(F.col("text")))
         .where(F.col("number").isNotNull())
     )
     number = F.col("number")
@@ -324,24 +339,23 @@ def type_suggestions(df: DataFrame, profile: DataFrame | None = None) -> DataFra
     """Columns that should be numbers or dates, numbered in field order, number before date."""
     columns = data_columns(df)
     facts = profile if profile is not None else field_profile(df)
-    first_thousands = samples(
-        first_k(
-            cells(df).where(~F.col("missing") & F.col("text").rlike(T.THOUSANDS)),
-            ["field"], 1, len(columns),
-        ),
-        ["field"], "text", "_number",
-    )
-    first_styles = first_k(_styled(df), ["field", "style"], 1, len(columns) * len(D.DATE_STYLES))
-    # the sample is the first slash date, else the first dash date, else the first CJK date
-    order = F.array_position(F.array(*[F.lit(s) for s in D.DATE_STYLES]), F.col("style"))
-    first_date = first_styles.groupBy("field").agg(F.min_by("text", order).alias("_date"))
-    wide = (
-        facts.where(F.col("filled") > 0)
-        .join(small_side(first_thousands, len(columns)), "field", "left")
-        .join(small_side(first_date, len(columns)), "field", "left")
+    # the date sample is the first slash date, else the first dash date, else the first CJK date
+    wanted = facts.where(F.col("filled") > 0).withColumn(
+        "date_row", F.coalesce(*[F.col(f"{s}_row") for s in D.DATE_STYLES])
     )
+    places = wanted.select(
+        "field", F.explode(F.array_compact(F.array("thousands_row", "date_row"))).alias(ROW_NO)
+    ).distinct()
+    shown = cells(df).join(small_side(places, 2 * len(columns)), ["field", ROW_NO])
+    picked = shown.select("field", ROW_NO, "text")
+    wide = wanted
+    for kind in ("thousands", "date"):
+        found = picked.select(
+            "field", F.col(ROW_NO).alias(f"{kind}_row"), F.col("text").alias(f"_{kind}")
+        )
+        wide = wide.join(small_side(found, 2 * len(columns)), ["field", f"{kind}_row"], "left")
     share = F.col("date_cnt") / F.col("filled")
-    number_sample = F.col("_number")[0]
+    number_sample = F.col("_thousands")
     percent = F.format_string("%.1f", F.round(share * 100, 1))
     number = F.struct(
         F.lit(1).alias("rank"),

@@ -19,18 +19,20 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     parts that hold a middle rank are ordered: about 0.2 % of a large group. The result is exact
     whatever the sketch returns, because the counts decide which parts are ordered.
     """
-    keys = list(keys) or ["_all"]
-    base = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    rows = base.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [_LOW, _HIGH], _ACCURACY).alias("_cut")
+    rows = df.where(F.col(value).isNotNull()).select(
+        *(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")
     )
-    cuts = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_cut")
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    whole, keys = not keys, list(keys) or ["_all"]
+    cut = F.percentile_approx("_v", [_LOW, _HIGH], _ACCURACY)
+    if whole:
+        cutting = rows.withColumn("_cut", rows.select(cut).scalar())
+    else:
+        cuts = _renamed(rows.groupBy(*keys).agg(cut.alias("_cut")), keys)
+        cutting = rows.join(cuts, _same(keys))
     part = (
         F.when(F.col("_v") < F.col("_cut")[0], 0).when(F.col("_v") <= F.col("_cut")[1], 1).otherwise(2)
     )
-    parted = rows.join(cuts, _all(same)).select(*keys, "_v", part.alias("_part"))
+    parted = cutting.select(*keys, "_v", part.alias("_part"))
 
     group = Window.partitionBy(*keys)
     up_to = F.sum("_n").over(group.orderBy("_part"))
@@ -42,15 +44,10 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     )
     low, high = F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2)
     wanted = parts.where((F.col("_before") < high) & (F.col("_before") + F.col("_n") >= low))
-    middle = parted.join(
-        wanted.select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_part").alias("_p"),
-            "_before",
-            "_total",
-        ),
-        _all(same) & (F.col("_part") == F.col("_p")),
-    )
+    ranges = _renamed(wanted.select(*keys, F.col("_part").alias("_p"), "_before", "_total"), keys)
+    # without keys there are at most three parts
+    ranges = F.broadcast(ranges) if whole else ranges
+    middle = parted.join(ranges, _same(keys) & (F.col("_part") == F.col("_p")))
     counted = middle.groupBy(*keys, "_part", "_before", "_total", "_v").agg(F.count("*").alias("_n"))
     start = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v")) - F.col("_n")
     placed = counted.withColumn("_from", F.col("_before") + start)
@@ -61,11 +58,16 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
         )
 
     found = placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
-    return found.drop("_all")
+    return found.drop("_all") if whole else found
+
+
+def _renamed(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return frame.withColumnsRenamed({k: f"_k_{k}" for k in keys})
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for extra in conditions[1:]:
-        out = out & extra
+def _same(keys: Sequence[str]) -> Column:
+    """Null-safe equality of the keys with their renamed copies."""
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     return out

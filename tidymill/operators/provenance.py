@@ -30,7 +30,8 @@ REF_SCHEMA = (
 
 def tokens(docs: DataFrame, text: str) -> DataFrame:
     """``(doc_id, pos, token, canon)``: one row per number token of each text."""
-    return docs.select("doc_id", F.posexplode(number_tokens(F.col(text))).alias("pos", "token")).select(
+    found = number_tokens(F.col(text))
+    return docs.select("doc_id", F.posexplode(found).alias("pos", "token")).select(
         "doc_id", "pos", F.trim("token").alias("token"), canon_token(F.col("token")).alias("canon")
     )
 
@@ -68,7 +69,8 @@ def whitelist(
     only the cited values, not ids and timestamps.
     """
     allowed = _allowed_canons(text, fields, refs, strict)
-    return docs.select("doc_id", F.explode(allowed).alias("canon")).distinct()
+    # distinct inside a row already; doc_id is the key of ``docs``
+    return docs.select("doc_id", F.explode(allowed).alias("canon"))
 
 
 def unsourced_numbers(generated: DataFrame, text: str, allowed: DataFrame) -> DataFrame:
@@ -104,17 +106,18 @@ def highlight(
     strict: bool = False,
 ) -> DataFrame:
     """Escaped generated text with unsourced numbers wrapped, all inside one row: no shuffle."""
-    marked = docs.withColumn("_allowed", _allowed_canons(text, fields, refs, strict)).withColumn(
-        "html",
-        replace_matches(
-            escape_html(F.coalesce(F.col(generated), F.lit(""))),
-            NUMBER_TOKEN,
-            lambda tok: F.when(F.array_contains("_allowed", canon_token(tok)), tok).otherwise(
-                F.concat(F.lit(SPAN_OPEN), tok, F.lit(SPAN_CLOSE))
-            ),
-        ),
+    def mark(tok: Column) -> Column:
+        known = F.array_contains("_allowed", canon_token(tok))
+        return F.when(known, tok).otherwise(F.concat(F.lit(SPAN_OPEN), tok, F.lit(SPAN_CLOSE)))
+
+    escaped = escape_html(F.coalesce(F.col(generated), F.lit("")))
+    marked = replace_matches(escaped, NUMBER_TOKEN, mark)
+    # the second mention of _allowed keeps Spark from evaluating it anew for every token
+    return (
+        docs.withColumn("_allowed", _allowed_canons(text, fields, refs, strict))
+        .withColumn("html", F.when(F.col("_allowed").isNotNull(), marked))
+        .drop("_allowed")
     )
-    return marked.drop("_allowed")
 
 
 def export_guard(reports: DataFrame, html: str) -> DataFrame:

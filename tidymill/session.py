@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        # keep small stages on all cores instead of one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
@@ -57,3 +59,18 @@ def pin(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder so that it is never recomputed differently."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SMALL_INPUT_BYTES = 128 << 20  # one scan split
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share a small input among the cores right after reading, before work that is heavy per row.
+
+    A file below one split is read by a single task, whatever the number of cores. Spark's own size
+    estimate decides; anything larger already comes in many splits and is left alone.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

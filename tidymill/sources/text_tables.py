@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidymill.session import spread
 from tidymill.sources.numbering import ROW_NO, data_columns, number_splits
 
 # Encodings that are accepted.
@@ -37,7 +38,7 @@ def read_text_table(
         raise ValueError("文件内容为空，无法解析")
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]
     if not numbered:
-        return raw.select(*cells)
+        return spread(raw.select(*cells))
     return number_splits(
         raw.select(
             *cells,
