@@ -315,7 +315,7 @@ _MOVES = " OR ".join(
     ),
 )
 def q5(t: Tables):
-    return Q.audit_transitions(t.status_changes)
+    return Q.audit_transitions(t.status_changes, seq_block=10_000_000)
 
 
 _REWORK = """SELECT json_extract_string(params_json, '$.ticket_id')::BIGINT AS ticket_id, count(*) AS rework_cnt

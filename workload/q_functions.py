@@ -148,7 +148,19 @@ def f12(t: Tables):
     return tokens(t.texts, "generated").select("doc_id", "pos", "canon")
 
 
-@query("f12_canon_token_padded")
+_PARTS = "regexp_extract_all(token, '[0-9]+')"
+_PADDED = f"""CASE WHEN regexp_matches(token, '^[0-9]{{4}}([-/]|{_W}+年)')
+    THEN 'date:' || {_PARTS}[1] || lpad({_PARTS}[2], 2, '0') || lpad({_PARTS}[3], 2, '0')
+    ELSE {canon('token')} END"""
+
+
+@query(
+    "f12_canon_token_padded",
+    duck(
+        f"WITH k AS ({token_rows('texts', 'generated')}) SELECT doc_id, pos, {_PADDED} AS canon FROM k",
+        "texts",
+    ),
+)
 def f12_padded(t: Tables):
     found = tokens(t.texts, "generated")
     return found.select("doc_id", "pos", canon_token(F.col("token"), padded_dates=True).alias("canon"))

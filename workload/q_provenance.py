@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidymill.functions.markup import parse_json_lenient
 from tidymill.operators import provenance as N
 from workload.fixtures import Tables, duck
-from workload.q_functions import canon, strip_tags_sql, token_rows
+from workload.q_functions import TOKEN, canon, strip_tags_sql, token_rows
 from workload.registry import query
 
 
@@ -67,7 +67,27 @@ def _highlighted(t: Tables):
     return N.highlight(t.texts, "generated", "text", fields="fields", refs="refs")
 
 
-@query("n3_highlight")
+_ESCAPED = "replace(replace(replace(generated, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_SPAN = '<span class="unsourced" title="无数据来源，请核对或删除">'
+
+
+@query(
+    "n3_highlight",
+    duck(
+        f"""WITH {_allowed(_WHOLE_REFS)},
+        cut AS (SELECT doc_id, string_split_regex({_ESCAPED}, '{TOKEN}') AS parts,
+                       regexp_extract_all({_ESCAPED}, '{TOKEN}') AS toks FROM texts),
+        toks AS (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM cut),
+        named AS (SELECT doc_id, i, parts, toks, toks[i] AS tok, {canon('trim(toks[i])')} AS canon FROM toks),
+        known AS (SELECT DISTINCT doc_id, canon, true AS ok FROM allowed),
+        marked AS (SELECT n.doc_id, i, parts[len(toks) + 1] AS tail,
+                          parts[i] || CASE WHEN ok THEN tok ELSE '{_SPAN}' || tok || '</span>' END AS piece
+                   FROM named n LEFT JOIN known k ON k.doc_id = n.doc_id AND k.canon = n.canon)
+        SELECT doc_id, array_to_string(list(piece ORDER BY i), '') || max(tail) AS html
+        FROM marked GROUP BY doc_id""",
+        "texts",
+    ),
+)
 def n3(t: Tables):
     return _highlighted(t).select("doc_id", "html")
 
