@@ -60,8 +60,13 @@ def is_float(col: Column) -> Column:
     return strip(col).rlike(FLOAT)
 
 
+def thousands_shaped(text: Column) -> Column:
+    """``is_thousands`` for trimmed text; only texts with a comma meet the pattern."""
+    return text.contains(",") & text.rlike(THOUSANDS)
+
+
 def is_thousands(col: Column) -> Column:
-    return strip(col).rlike(THOUSANDS)
+    return thousands_shaped(strip(col))
 
 
 def is_boolean(col: Column) -> Column:

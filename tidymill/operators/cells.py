@@ -67,7 +67,14 @@ def first_k(
         .groupBy(*keys)
         .agg(F.max("_band").alias("_last"))
     )
-    near = frame.join(small_side(bound, groups), list(keys)).where(band() <= F.col("_last"))
+    # the widest bound, as a subquery value, is applied below the unpivot: cells beyond it are
+    # never formed
+    reach = bound.agg(F.max("_last")).scalar()
+    near = (
+        frame.where(band() <= reach)
+        .join(small_side(bound, groups), list(keys))
+        .where(band() <= F.col("_last"))
+    )
     rank = F.row_number().over(by_group.orderBy(ROW_NO))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("_last")
 

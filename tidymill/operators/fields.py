@@ -73,9 +73,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(value.rlike(T.INTEGER)).alias("ints"),
         F.count_if(value.rlike(T.FLOAT)).alias("floats"),
-        F.count_if(value.rlike(T.THOUSANDS)).alias("thousands"),
+        F.count_if(T.thousands_shaped(value)).alias("thousands"),
         F.count_if(value.rlike(T.BOOLEAN)).alias("bools"),
-        F.count_if(value.rlike(D.DATE_TEXT)).alias("dates"),
+        F.count_if(D.date_shaped(value)).alias("dates"),
     )
     label, hint = _label(*[F.col(c) for c in ("n", "ints", "floats", "thousands", "bools", "dates")])
     # a column without any value yields no row above: it is text

@@ -57,7 +57,7 @@ def field_profile(df: DataFrame) -> DataFrame:
         raise ValueError("文件内容为空，无法体检")
     text, there = F.col("text"), ~F.col("missing")
     number = F.when(there, T.parse_number(text))
-    dated = there & text.rlike(D.DATE_TEXT)
+    dated = there & D.date_shaped(text)
     long = cells(df).withColumns({"number": number, "dated": dated})
     bad_phone = _in(columns_like(df, PHONE_WORDS)) & there & ~text.rlike(T.PHONE)
     bad_idcard = _in(columns_like(df, IDCARD_WORDS)) & there & ~text.rlike(T.IDCARD)
@@ -66,7 +66,7 @@ def field_profile(df: DataFrame) -> DataFrame:
         hit = F.col("dated") & text.contains(mark)
         styles.append(F.count_if(hit).alias(f"{style}_cnt"))
         first_rows.append(F.min(F.when(hit, F.col(ROW_NO))).alias(f"{style}_row"))
-    thousands = there & text.rlike(T.THOUSANDS)
+    thousands = there & T.thousands_shaped(text)
     return (
         long.groupBy("field")
         .agg(
@@ -210,11 +210,13 @@ def flagged_cells(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     bounds = numeric_stats(df, profile)
     # only columns that can be flagged are unpivoted
     candidates = [c for c in columns if c in ages or c in amounts or not named_like(c, ID_WORDS)]
-    numbers = (
+    ruled = _in(ages) | _in(amounts)
+    # cells of columns that are no measures are gone before anything is parsed
+    measured = (
         cells(df, candidates)
         .where(~F.col("missing"))
-        .withColumn("number", T.parse_number(F.col("text")))
-        .where(F.col("number").isNotNull())
+        .join(small_side(bounds, len(columns)), "field", "left")
+        .where(ruled | F.col("lo").isNotNull())
     )
     number = F.col("number")
     rule = (
@@ -222,12 +224,14 @@ def flagged_cells(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
         .when(_in(amounts), number < 0)
         .otherwise(F.lit(False))
     )
-    sigma = F.coalesce((number < F.col("lo")) | (number > F.col("hi")), F.lit(False))
-    return (
-        numbers.join(small_side(bounds, len(columns)), "field", "left")
-        .withColumns({"is_age": _in(ages), "rule": rule, "sigma": sigma})
-        .where(F.col("rule") | F.col("sigma"))
-    )
+    sigma = (number < F.col("lo")) | (number > F.col("hi"))
+    verdicts = {
+        "is_age": _in(ages),
+        "rule": F.coalesce(rule, F.lit(False)),
+        "sigma": F.coalesce(sigma, F.lit(False)),
+    }
+    parsed = measured.withColumn("number", T.parse_number(F.col("text")))
+    return parsed.withColumns(verdicts).where(F.col("rule") | F.col("sigma"))
 
 
 def _reasons() -> Column:
@@ -289,7 +293,7 @@ def _styled(df: DataFrame) -> DataFrame:
     )
     return (
         cells(df)
-        .where(~F.col("missing") & F.col("text").rlike(D.DATE_TEXT))
+        .where(~F.col("missing") & D.date_shaped(F.col("text")))
         .select(ROW_NO, "field", "text", F.explode(F.array_compact(marks)).alias("style"))
     )
 

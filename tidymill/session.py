@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder so that it is never recomputed differently."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame once to the shared checkpoint folder and go on from the written table.
+
+    It is never recomputed differently afterwards, whichever executors are lost, and as Parquet it
+    is read by column.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SMALL_INPUT_BYTES = 128 << 20  # one scan split

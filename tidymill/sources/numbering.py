@@ -68,14 +68,18 @@ def number_in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
         )
     )
     local = F.col("_mid").bitwiseAND(F.lit((1 << _MID_BITS) - 1))
-    # one row per partition of the sort: the partition count bounds what is broadcast
+    # one row per partition of the sort, and a partition wrote at least one file
+    small = F.broadcast(offsets) if len(fixed.inputFiles()) <= MAX_BROADCAST_SPLITS else offsets
     return (
         fixed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(small, "_part")
         .select((F.col("_before") + local + F.lit(1)).alias(ROW_NO), *data_columns(df))
     )
 
 
+MAX_BROADCAST_SPLITS = 50_000
+
+
 def number_splits(df: DataFrame, path: str = "_path", start: str = "_start") -> DataFrame:
     """``row_no`` in file order for a scan that kept each row's file path and split offset.
 
@@ -93,6 +97,9 @@ def number_splits(df: DataFrame, path: str = "_path", start: str = "_start") ->
         "_first",
         (F.sum("_n").over(Window.orderBy(path, start)) - F.col("_n")).alias("_before"),
     )
-    return fixed.join(offsets, [path, start]).select(
+    # every task of the scan wrote one file, and every source file adds at most one more split
+    bound = len(fixed.inputFiles()) + len(df.inputFiles())
+    small = F.broadcast(offsets) if bound <= MAX_BROADCAST_SPLITS else offsets
+    return fixed.join(small, [path, start]).select(
         (F.col("_before") + F.col("_mid") - F.col("_first") + F.lit(1)).alias(ROW_NO), *columns
     )
