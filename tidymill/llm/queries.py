@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidymill.llm.common import read
 from tidymill.llm.exact import exact_duplicates
 from tidymill.llm.lines import shared_lines
+from tidymill.llm.packing import byte_bpe, packed_pieces
+from tidymill.llm.quality import Model, score_quality, train_quality
 from tidymill.llm.secret_scan import find_secrets, train_markov
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +81,29 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_of(listed(F.filter("spans", lambda x: x["kind"] != "random"))).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def vocabulary():
+    return byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read(spark, sf_dir, "documents"), vocabulary)
+
+
+HELD_OUT = "crc32(cast(doc_id AS string)) % 3 = 1"
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> Model:
+    known = labels.filter(f"NOT {HELD_OUT}").select("doc_id", F.col("quality").alias("label"))
+    return train_quality(docs, known)
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_quality(docs, quality_model(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
