@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidymill.llm.common import read
 from tidymill.llm.exact import exact_duplicates
 from tidymill.llm.lines import shared_lines
+from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import byte_bpe, packed_pieces
 from tidymill.llm.quality import Model, score_quality, train_quality
 from tidymill.llm.secret_scan import find_secrets, train_markov
@@ -107,3 +108,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
