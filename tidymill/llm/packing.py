@@ -112,7 +112,7 @@ def packed_pieces(
     if with_ids:
         schema, fields = schema + ", ids binary", [*fields, pa.field("ids", pa.binary())]
     return (
-        tokens.join(bases, "task")
+        tokens.join(F.broadcast(bases), "task")  # one row per task of the first pass, 16 bytes each
         .select("doc_id", (F.col("base") + F.col("task_start")).alias("at"), "doc_tokens", "ids")
         .mapInArrow(_pieces(length, pa.schema(fields)), schema)
     )
