@@ -14,6 +14,7 @@ from tidymill.llm.lines import shared_lines
 from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import byte_bpe, packed_pieces
 from tidymill.llm.quality import Model, score_quality, train_quality
+from tidymill.llm.vectors import near_vectors
 from tidymill.llm.secret_scan import find_secrets, train_markov
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +114,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
