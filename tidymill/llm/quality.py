@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -161,6 +160,13 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
-def held_out(doc_id: int) -> bool:
-    """The rows no label is learnt from."""
-    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns whose text scores at least ``threshold`` (null text: as empty)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col, 1 << 20):
+            plain = pa.RecordBatch.from_arrays([part.column(text_col).fill_null("")], ["text"])
+            yield part.filter(pa.array(model.scores(plain) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+

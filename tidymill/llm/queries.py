@@ -15,6 +15,7 @@ from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import byte_bpe, packed_pieces
 from tidymill.llm.quality import Model, score_quality, train_quality
 from tidymill.llm.vectors import near_vectors
+from tidymill.llm.windows import repeated_windows
 from tidymill.llm.secret_scan import find_secrets, train_markov
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +120,9 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_windows(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
