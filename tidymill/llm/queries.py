@@ -13,6 +13,7 @@ from tidymill.llm.exact import exact_duplicates
 from tidymill.llm.lines import shared_lines
 from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import byte_bpe, packed_pieces
+from tidymill.llm.pieces import Pieces, decode_pieces, encode_pieces, load_pieces
 from tidymill.llm.quality import Model, score_quality, train_quality
 from tidymill.llm.vectors import near_vectors
 from tidymill.llm.windows import repeated_windows
@@ -126,3 +127,13 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_windows(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
+def merge_pieces() -> Pieces:
+    return load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_pieces(encode_pieces(read(spark, sf_dir, "documents"), merge_pieces), merge_pieces)
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", sha256_of(F.col("text")).alias("decoded_sha256"))

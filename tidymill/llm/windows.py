@@ -10,14 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidymill.llm.common import SLICE_BYTES, mixed, pin, seeded, slices, text_bytes, texts
+from tidymill.llm.common import mixed, pin, seeded, slices, text_bytes, texts
 from tidymill.llm.shingles import Words, lowest, sequences
 
 ROWS = 2  # of the sketch
 COLUMNS = 1 << 40  # cells per row; few fall together, and a cell takes no room until it is counted
 ANCHOR = 10  # words of the run that stands for a window in the sketch
 _ORDERS = seeded(ROWS, 31)
-PACK = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+PACK = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("shard", "<i8")])
 
 
 def _window_cells(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +95,11 @@ def _candidates(size: int, shards: int):
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=4 * SLICE_BYTES):
+        for part in slices(batches):
+            found = pc.is_valid(part.column("hot"))
+            part = part.filter(found)
+            if not part.num_rows:
+                continue
             words = Words.of(*text_bytes(part.column("text")))
             at, owners, cells = _window_cells(words, size)
             hot = _hot_mask(part.column("hot").to_pylist(), owners, cells)
@@ -106,6 +110,7 @@ def _candidates(size: int, shards: int):
             rows = np.zeros(len(at), PACK)
             rows["hi"], rows["lo"] = (sequences(words.hashes(seed), size)[at] for seed in (43, 47))
             rows["doc"], rows["start"] = ids[owners], at - words.bounds[owners]
+            rows["shard"] = cells[0, hot] % shards  # neighbours mostly share it
             yield from _settled(rows, schema, shards)
 
     return run
@@ -127,9 +132,9 @@ def _settled(rows: np.ndarray, schema: pa.Schema, shards: int) -> Iterator[pa.Re
         doc, starts = int(covered["doc"][start]), covered["start"][start:end].astype("<u4").tobytes()
         out.append((doc % max(shards, 1), doc, starts, None))
     if shards:
-        shard = (open_["hi"] >> np.uint64(64 - (shards - 1).bit_length())).astype(np.int64)  # in order of the sort
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        for s in np.unique(shard):
+        open_ = open_[np.argsort(open_["shard"], kind="stable")]
+        cuts = np.searchsorted(open_["shard"], np.arange(shards + 1))
+        for s in np.unique(open_["shard"]):
             out.append((int(s), None, None, _pack(open_[cuts[s] : cuts[s + 1]])))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema, strict=True)], schema=schema)
@@ -222,7 +227,8 @@ def repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_id", te
     own = known.mapInArrow(_own_cells(size), "row tinyint, cell bigint, doc_id bigint")
     marked = F.col("cell").bitwiseOR(F.shiftleft(F.col("row").cast("bigint"), 48))
     hot_cells = own.join(hot, ["row", "cell"]).groupBy("doc_id").agg(F.collect_set(marked).alias("cells"))
-    with_hot = rows.join(hot_cells, "doc_id").mapInArrow(_with_packed, "doc_id bigint, text string, hot binary")
+    # the same exchange of the texts serves both joins
+    with_hot = rows.join(hot_cells, "doc_id", "left").mapInArrow(_with_packed, "doc_id bigint, text string, hot binary")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << max(6, (4 * partitions - 1).bit_length())  # a power of two; follows the size set for shuffles
     found = with_hot.mapInArrow(_candidates(size, shards), "shard int, doc_id bigint, starts binary, packed binary")
@@ -235,7 +241,7 @@ def repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_id", te
 
 def _with_packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [np.array(x, np.int64).tobytes() for x in batch.column("cells").to_pylist()]
+        packed = [np.array(x, np.int64).tobytes() if x else None for x in batch.column("cells").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text"), pa.array(packed, pa.binary())], ["doc_id", "text", "hot"]
         )
