@@ -15,6 +15,7 @@ from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import byte_bpe, packed_pieces
 from tidymill.llm.pieces import Pieces, decode_pieces, encode_pieces, load_pieces
 from tidymill.llm.quality import Model, score_quality, train_quality
+from tidymill.llm.suffixes import repeated_bytes
 from tidymill.llm.vectors import near_vectors
 from tidymill.llm.windows import repeated_windows
 from tidymill.llm.secret_scan import find_secrets, train_markov
@@ -137,3 +138,9 @@ def merge_pieces() -> Pieces:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_pieces(encode_pieces(read(spark, sf_dir, "documents"), merge_pieces), merge_pieces)
     return decoded.select("doc_id", "n_tokens", "ids_crc32", sha256_of(F.col("text")).alias("decoded_sha256"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_bytes(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256_of(F.col("kept")).alias("kept_sha256"))
