@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidymill.llm.common import mixed, pin, seeded, slices, text_bytes, texts
 from tidymill.llm.shingles import lowest, sequences
 
-GRAM = 8  # bytes of the run that stands for a window in the sketch
+GRAM = 20  # bytes of the run that stands for a window in the sketch
+SLICE = 1 << 19  # bytes of text worked on at once
 QUEUE_BYTES = 64 << 20  # of a queue's tuples held in memory
 FEW_SYMBOLS = 4096  # below this, recursion sorts by induction; above, by doubling
 
@@ -150,7 +151,7 @@ def _window_hashes(data: np.ndarray, size: int, seed: int) -> np.ndarray:
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, document and sketch cell of each window: the hash of its least eight-byte run."""
+    """First byte, document and sketch cell of each window: the hash of its least twenty-byte run."""
     lengths = np.maximum(np.diff(offsets) - size + 1, 0)
     owners = np.repeat(np.arange(len(lengths)), lengths)
     at = offsets[:-1][owners] + np.arange(len(owners)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -171,7 +172,7 @@ def _counts(size: int, by_document: bool):
     """Partial sketch of a slice (cell, number of documents, 2 for more), or the cells of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             _, owners, cells = _cells(*text_bytes(part.column("text")), size)
             new = _changes(owners, cells)
             owners, cells = owners[new], cells[new]
@@ -198,7 +199,7 @@ def _segments(size: int, shards: int):
     """Stretches of bytes whose windows may repeat, cut where the shard of their cells changes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             part = part.filter(pc.is_valid(part.column("hot")))
             if not part.num_rows:
                 continue
@@ -298,7 +299,7 @@ def _cut(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             out = []
             for doc_id, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 raw, runs = text.encode(), []
@@ -321,7 +322,7 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     Returns ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (the bytes that stay) for every row.
 
-    A sketch over all windows finds those that may repeat (a window counts in the cell of its least eight-byte run, so
+    A sketch over all windows finds those that may repeat (a window counts in the cell of its least twenty-byte run, so
     none is lost). Only stretches of such windows are sent on, to shards of their cells; a shard keeps one copy of equal
     stretches and sorts its suffixes by induction, recursively, with queues that spill beyond a bound. Neighbours in
     that order with a common prefix of ``size`` bytes form the groups in which the smallest document is found.
