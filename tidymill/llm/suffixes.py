@@ -18,7 +18,7 @@ from tidymill.llm.shingles import lowest, sequences
 GRAM = 20  # bytes of the run that stands for a window in the sketch
 SLICE = 1 << 19  # bytes of text worked on at once
 QUEUE_BYTES = 64 << 20  # of a queue's tuples held in memory
-FEW_SYMBOLS = 4096  # below this, recursion sorts by induction; above, by doubling
+FEW_SYMBOLS = 300  # below this, recursion sorts by induction; above, by doubling
 
 
 class Queue:
@@ -337,7 +337,7 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     hot = pin(sketch.filter("n > 1").select("cell"))
     own = known.mapInArrow(_counts(size, True), "cell bigint, doc_id bigint")
     hot_cells = own.join(hot, "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
-    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the same exchange of the texts serves both joins
     found = rows.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size, shards), "shard int, doc_id bigint, start bigint, segment binary")
     settled = found.repartition("shard").sortWithinPartitions("shard").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
