@@ -45,16 +45,16 @@ def test_anomalies_name_their_reasons(table):
     assert got[(4, "age")].rules.startswith("年龄应在 0~120 之间，当前值 130；超出 3σ 正常范围（均值 ")
     assert got[(8, "amount")].rules.startswith("金额/价格不应为负，当前值 -1000；")
     assert [r.id for r in H.anomaly_list(df).orderBy("row_no").collect()] == [1, 2]
-    assert tuple(H.anomaly_totals(df).first()) == (2, False)
+    assert tuple(H.anomaly_totals(df).first()) == (2,)
     done = H.confirm_anomalies(H.anomaly_list(df), df.sparkSession.sql("SELECT 2L AS id UNION ALL SELECT 2L"))
     assert {(r.id, r.confirmed, r.newly) for r in done.collect()} == {(1, False, False), (2, True, True)}
 
 
-def test_anomaly_cap_keeps_exact_totals(table, monkeypatch):
-    monkeypatch.setattr(H, "ANOMALY_CAP", 5)
-    df = table("price", [("-1",)] * 8 + [("2",)] * 4)
-    assert H.anomaly_list(df).count() == 5
-    assert tuple(H.anomaly_totals(df).first()) == (8, True)
+def test_anomaly_list_is_whole(table):
+    df = table("price", [("-1",)] * 6000 + [("2",)] * 4000)
+    listed = H.anomaly_list(df)
+    assert sorted(r.id for r in listed.select("id").collect()) == list(range(1, 6001))
+    assert tuple(H.anomaly_totals(df).first()) == (6000,)
 
 
 def test_formats_and_suggestions(table):

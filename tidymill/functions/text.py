@@ -49,7 +49,8 @@ def to_number(col: Column) -> Column:
 def parse_number(text: Column) -> Column:
     """``to_number`` for text that is trimmed already."""
     bare = F.replace(text, F.lit(","), F.lit(""))
-    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    number = bare.try_cast("double")
+    return F.when(bare.rlike(NUMBER) & (F.abs(number) < float("inf")), number)
 
 
 def is_integer(col: Column) -> Column:

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from tidymill.functions import dates as D
 from tidymill.functions import text as T
 from tidymill.operators.cells import cells, field_position, first_k, samples, small_side
-from tidymill.sources.numbering import ROW_NO, data_columns
+from tidymill.sources.numbering import ROW_NO, data_columns, number_in_order
 
 # Thresholds.
 MISSING_WARN_RATE = 0.20
-ANOMALY_CAP = 5000
-ITEM_CAP = 100
 DUP_GROUPS = 20
 DUP_ROWS_PER_GROUP = 6
 NUMERIC_RATIO = 0.80
@@ -250,26 +248,19 @@ def _reasons() -> Column:
 
 
 def anomaly_list(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """The first 5,000 anomalies in (row, field) order, numbered, with their reasons."""
-    listed = (
-        flagged_cells(df, profile)
-        .select(ROW_NO, "field", F.col("text").alias("value"), _reasons().alias("rules"))
-        .orderBy(ROW_NO, "field")
-        .limit(ANOMALY_CAP)
+    """All anomalies in (row, field) order, numbered without a global window, with their reasons."""
+    listed = flagged_cells(df, profile).select(
+        F.col(ROW_NO).alias("_at"), "field", F.col("text").alias("value"), _reasons().alias("rules")
+    )
+    numbered = number_in_order(listed, [F.col("_at"), F.col("field")])
+    return numbered.select(
+        F.col("_at").alias(ROW_NO), "field", "value", "rules", F.col(ROW_NO).alias("id"), F.lit(False).alias("confirmed")
     )
-    # at most 5,000 rows are numbered
-    return listed.withColumn(
-        "id", F.row_number().over(Window.orderBy(ROW_NO, "field")).cast("bigint")
-    ).withColumn("confirmed", F.lit(False))
 
 
 def anomaly_totals(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Exact number of anomalies, and whether the list above is shorter."""
-    return (
-        flagged_cells(df, profile)
-        .agg(F.count("*").alias("anomaly_cnt"))
-        .withColumn("anomaly_truncated", F.col("anomaly_cnt") > ANOMALY_CAP)
-    )
+    """The number of anomalies."""
+    return flagged_cells(df, profile).agg(F.count("*").alias("anomaly_cnt"))
 
 
 def confirm_anomalies(anomalies: DataFrame, ids: DataFrame) -> DataFrame:
@@ -330,10 +321,8 @@ def bad_format_counts(df: DataFrame, kind: str) -> DataFrame:
 
 
 def bad_format_items(df: DataFrame, kind: str) -> DataFrame:
-    """The first 100 bad cells of each column."""
-    found = _bad_cells(df, kind).select(ROW_NO, "field", F.col("text").alias("value"))
-    ranked = first_k(found, ["field"], ITEM_CAP, len(data_columns(df)))
-    return ranked.select("field", ROW_NO, "value")
+    """All bad cells."""
+    return _bad_cells(df, kind).select("field", ROW_NO, F.col("text").alias("value"))
 
 
 # --- types -------------------------------------------------------------------------------------
@@ -432,7 +421,7 @@ def profile_summary(df: DataFrame, profile: DataFrame | None = None) -> DataFram
     )
     # two one-row results joined in as scalar subqueries
     dups = duplicate_counts(df).select(F.struct("dup_rows", "dup_groups")).scalar()
-    odd = anomaly_totals(df, facts).select(F.struct("anomaly_cnt", "anomaly_truncated")).scalar()
+    odd = anomaly_totals(df, facts).select(F.struct("anomaly_cnt")).scalar()
     return from_fields.withColumns({"_d": dups, "_a": odd}).select(
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
         F.lit(len(columns)).cast("bigint").alias("col_count"),
@@ -441,7 +430,6 @@ def profile_summary(df: DataFrame, profile: DataFrame | None = None) -> DataFram
         F.col("_d.dup_rows").alias("dup_rows"),
         F.col("_d.dup_groups").alias("dup_groups"),
         F.col("_a.anomaly_cnt").alias("anomaly_cnt"),
-        F.col("_a.anomaly_truncated").alias("anomaly_truncated"),
         F.coalesce("format_issue_cnt", F.lit(0)).alias("format_issue_cnt"),
         F.coalesce("type_suggest_cnt", F.lit(0)).alias("type_suggest_cnt"),
     )

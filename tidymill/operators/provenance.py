@@ -14,7 +14,6 @@ from tidymill.functions.markup import (
 from tidymill.functions.text import strip
 from tidymill.functions.tokens import NUMBER_TOKEN, canon_token, number_tokens
 
-DROPPED_CAP = 20
 
 # How a flagged number is wrapped and how flags are counted.
 SPAN_OPEN = '<span class="unsourced" title="无数据来源，请核对或删除">'
@@ -79,10 +78,7 @@ def unsourced_numbers(generated: DataFrame, text: str, allowed: DataFrame) -> Da
 
 
 def dropped_numbers(source: DataFrame, source_text: str, polished: DataFrame, text: str) -> DataFrame:
-    """Numbers of the source missing from the polished text: first occurrences, 20 per text.
-
-    The cap is the report's; it is applied to each text's own ordered list.
-    """
+    """Numbers of the source missing from the polished text, in the order of their first occurrences."""
     first = tokens(source, source_text).groupBy("doc_id", "canon").agg(
         F.min("pos").alias("pos"), F.min_by("token", "pos").alias("token")
     )
@@ -91,7 +87,6 @@ def dropped_numbers(source: DataFrame, source_text: str, polished: DataFrame, te
     return (
         first.join(kept, ["doc_id", "canon"], "left_anti")
         .withColumn("rank", rank)
-        .where(F.col("rank") <= DROPPED_CAP)
         .select("doc_id", "rank", "token")
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,8 +43,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for written intermediate results.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is used only on a local
-    master, where one machine holds everything.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master without that setting, where one
+    machine holds everything, gets a folder of its own, which goes when the process ends.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -51,7 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="tidymill-checkpoint-")
+        named = f"{tempfile.gettempdir()}/tidymill-checkpoint-{os.getpid()}"
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 

@@ -115,7 +115,7 @@ _LISTED = f"""listed AS (
         CASE WHEN rule THEN CASE WHEN field = 'age' THEN '年龄应在 0~120 之间，当前值 '
              ELSE '金额/价格不应为负，当前值 ' END || {_six_digits('x')} END,
         CASE WHEN sigma THEN printf('超出 3σ 正常范围（均值 %.2f，参考区间 [%.2f, %.2f]）', mean, lo, hi) END)
-        AS rules FROM flags WHERE rule OR sigma ORDER BY row_no, field LIMIT 5000),
+        AS rules FROM flags WHERE rule OR sigma),
 numbered AS (SELECT *, row_number() OVER (ORDER BY row_no, field) AS id FROM listed)"""
 
 
@@ -135,7 +135,7 @@ def h8(t: Tables):
     "h8_anomaly_totals",
     duck(
         f"""WITH {LONG_ORDERS}, {_BOUNDS}, {_FLAGS}
-        SELECT count(*) AS anomaly_cnt, count(*) > 5000 AS anomaly_truncated FROM flags
+        SELECT count(*) AS anomaly_cnt FROM flags
         WHERE rule OR sigma""",
         "dirty_orders",
     ),
@@ -178,9 +178,7 @@ _BAD = {
 
 def _register_bad(key: str, kind: str) -> None:
     shown = "value" if kind == "space" else X.strip("value")
-    items = f"""SELECT field, row_no, v AS value FROM (
-        SELECT field, row_no, {shown} AS v, row_number() OVER (PARTITION BY field ORDER BY row_no) AS k
-        FROM long WHERE {_BAD[kind]}) WHERE k <= 100"""
+    items = f"SELECT field, row_no, {shown} AS value FROM long WHERE {_BAD[kind]}"
     query(f"{key}_items", duck(f"WITH {LONG_USERS} {items}", "dirty_users"))(
         lambda t: H.bad_format_items(t.dirty_users, kind)
     )
@@ -240,7 +238,6 @@ def _summary_sql(long: str, table: str, columns: list[str]) -> str:
             (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM dup) AS dup_rows,
             (SELECT count(*) FROM dup) AS dup_groups,
             (SELECT count(*) FROM flags WHERE rule OR sigma) AS anomaly_cnt,
-            (SELECT count(*) > 5000 FROM flags WHERE rule OR sigma) AS anomaly_truncated,
             (SELECT count(*) FROM mixed)
               + (SELECT count(*) FROM long WHERE {_BAD['phone']})
               + (SELECT count(*) FROM long WHERE {_BAD['idcard']})

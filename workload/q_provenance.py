@@ -112,7 +112,7 @@ def n4(t: Tables):
         gone AS (SELECT * FROM first f WHERE NOT EXISTS (
             SELECT 1 FROM out o WHERE o.doc_id = f.doc_id AND o.canon = f.canon)),
         ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank, token FROM gone)
-        SELECT * FROM ranked WHERE rank <= 20""",
+        SELECT * FROM ranked""",
         "texts",
     ),
 )
