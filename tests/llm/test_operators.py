@@ -23,7 +23,8 @@ from tidymill.llm.pieces import decode_pieces, encode_pieces
 from tidymill.llm.quality import accepted, score_quality, train_quality
 from tidymill.llm.queries import merge_pieces, vocabulary
 from tidymill.llm.secret_scan import find_secrets, redact_secrets, train_markov
-from tidymill.llm.suffixes import repeated_bytes, suffix_array
+from tidymill.llm import suffixes
+from tidymill.llm.suffixes import repeated_bytes, sorted_suffixes, suffix_array
 from tidymill.llm.vectors import near_vectors
 from tidymill.llm.windows import repeated_windows
 
@@ -144,6 +145,27 @@ def test_byte_strings(docs):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got if r.doc_id is not None} == want
 
 
+def _shared(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_common_prefixes_come_with_the_suffixes(monkeypatch):
+    rng = np.random.default_rng(11)
+    for spill in (False, True):
+        if spill:
+            monkeypatch.setattr(suffixes, "QUEUE_BYTES", 64)
+        for round_ in range(400):
+            text = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(0, 50)))
+            if round_ % 3 == 0:
+                text = np.tile(text[: len(text) // 4 + 1], 5)
+            if round_ % 5 == 0:
+                text = np.repeat(text, rng.integers(1, 6, len(text)))
+            tails = sorted((text[i:].tolist(), i) for i in range(len(text)))
+            order, common = sorted_suffixes(text.astype(np.int64))
+            assert order.tolist() == [i for _, i in tails]
+            assert common.tolist() == [0, *(_shared(a, b) for (a, _), (b, _) in zip(tails, tails[1:]))][: len(text)]
+
+
 def test_suffix_array():
     for seed in range(150):
         draw = np.random.default_rng(seed)

@@ -18,136 +18,256 @@ from tidymill.llm.shingles import lowest, sequences
 GRAM = 20  # bytes of the run that stands for a window in the sketch
 SLICE = 1 << 19  # bytes of text worked on at once
 QUEUE_BYTES = 64 << 20  # of a queue's tuples held in memory
-FEW_SYMBOLS = 300  # below this, recursion sorts by induction; above, by doubling
+UNKNOWN = 1 << 40  # common prefix of suffixes not told apart yet
 
 
 class Queue:
-    """Suffixes by symbol, first in first out within one; what passes the bound in memory goes to an unnamed file."""
+    """Suffix tuples (place, common prefix with the one before) by batch of symbols, first in first out within one.
+
+    Symbols come in order, so this is a priority queue with one list per key; what passes the bound in memory goes to
+    an unnamed file.
+    """
 
     def __init__(self) -> None:
         self.runs: dict[int, list] = defaultdict(list)
         self.held, self.file = 0, None
 
-    def push(self, symbols: np.ndarray, places: np.ndarray) -> None:
+    def push(self, keys: np.ndarray, places: np.ndarray, common: np.ndarray) -> None:
+        """Tuples in order of their keys."""
         if not len(places):
             return
-        order = np.argsort(symbols, kind="stable")
-        symbols, places = symbols[order], places[order]
-        cuts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-        for start, end in zip(cuts, [*cuts[1:], len(places)], strict=True):
-            self.runs[int(symbols[start])].append(places[start:end])
-        self.held += places.nbytes
+        both = np.stack([places, common])
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+        for key, start, end in zip(keys[cuts].tolist(), cuts, [*cuts[1:], len(places)], strict=True):
+            self.runs[key].append(both[:, start:end])
+        self.held += both.nbytes
         if self.held > QUEUE_BYTES:
             self._spill()
 
     def _spill(self) -> None:
         self.file = self.file or tempfile.TemporaryFile()
         self.file.seek(0, 2)
-        for symbol, runs in self.runs.items():
+        for key, runs in self.runs.items():
             for i, run in enumerate(runs):
                 if isinstance(run, np.ndarray):
                     at = self.file.tell()
                     self.file.write(np.ascontiguousarray(run, np.int64).tobytes())
-                    self.runs[symbol][i] = (at, len(run))
+                    self.runs[key][i] = (at, run.shape[1])
         self.held = 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        out = []
-        for run in self.runs.pop(symbol, ()):
+    def pop(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.zeros((2, 0), np.int64)]
+        for run in self.runs.pop(key, ()):
             if isinstance(run, tuple):
                 self.file.seek(run[0])
-                out.append(np.frombuffer(self.file.read(8 * run[1]), np.int64))
+                out.append(np.frombuffer(self.file.read(16 * run[1]), np.int64).reshape(2, -1))
             else:
                 self.held -= run.nbytes
                 out.append(run)
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _induced(text: np.ndarray, larger: np.ndarray, stars: np.ndarray) -> np.ndarray:
-    """All suffixes in order, given the order of those that are smaller than their successor but follow a larger one."""
-    symbols = np.unique(text).tolist()
-    seeds, queue, kept = Queue(), Queue(), {}
-    seeds.push(text[stars], stars)
-    queue.push(text[-1:], np.array([len(text) - 1]))
-    for symbol in symbols:
-        parts, now = [], queue.pop(symbol)
-        while len(now):
-            parts.append(now)
-            before = now[now > 0] - 1
-            before = before[larger[before]]
-            same = text[before] == symbol
-            queue.push(text[before[~same]], before[~same])
-            now = before[same]
-        kept[symbol] = np.concatenate(parts) if parts else now
-        before = seeds.pop(symbol) - 1
-        queue.push(text[before], before)
-    queue, out = Queue(), []
-    for symbol in reversed(symbols):
-        parts, now = [], queue.pop(symbol)
-        while len(now):
-            parts.append(now)
-            before = now[now > 0] - 1
-            before = before[~larger[before]]
-            same = text[before] == symbol
-            queue.push(text[before[~same]], before[~same])
-            now = before[same]
-        out += parts
-        last_first = kept.pop(symbol)[::-1]
-        out.append(last_first)
-        before = last_first[last_first > 0] - 1
-        before = before[~larger[before]]
-        queue.push(text[before], before)
-    return np.concatenate(out)[::-1]
-
-
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a text with many symbols in order, by ranks of prefixes of doubling length."""
-    rank, span = np.unique(names, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.full(len(rank), -1, np.int64)
-        after[: max(len(rank) - span, 0)] = rank[span:]
-        order = np.lexsort((after, rank))
-        new = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])])
-        rank[order] = np.cumsum(new) - 1
+        places, common = np.concatenate(out, axis=1)
+        return places, common
+
+
+def _stored(values: np.ndarray) -> np.ndarray:
+    """The same values, in a mapped unnamed file of the task if they pass the bound in memory."""
+    if values.nbytes <= QUEUE_BYTES:
+        return values
+    mapped = np.memmap(tempfile.TemporaryFile(), values.dtype, "w+", shape=values.shape)
+    mapped[:] = values
+    return mapped
+
+
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The minimum of ``values[first..last]`` for many ranges, from minima over doubling spans."""
+    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    out, span = np.empty(len(first), np.int64), 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(values[first[here]], values[last[here] - span + 1])
+        values = np.minimum(values[:-span], values[span:])
         span *= 2
-        if new.all() or span > 2 * len(rank):
-            return order
+    return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffixes of a sequence of numbers in order; a suffix comes before those it begins."""
-    count = len(text)
-    if count < 2:
-        return np.arange(count)
+def _among(common: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Common prefixes between neighbours of a subset (ascending positions) of suffixes in order."""
+    if not len(chosen):
+        return common[:0]
+    return np.minimum.reduceat(common[: chosen[-1] + 1], np.concatenate([[0], chosen[:-1] + 1]))
+
+
+def _backwards(places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return places[::-1], np.concatenate([common[:0] if not len(common) else [0], common[1:][::-1]]).astype(np.int64)
+
+
+def _batches(text: np.ndarray, wanted: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the batch of each symbol, and which batches lead to themselves.
+
+    The suffixes of a batch induce only suffixes of later batches, so they can be taken at once; a symbol that follows
+    itself is a batch of its own.
+    """
+    reach = np.full(count, count, np.int64)
+    at = np.flatnonzero(wanted[:-1])
+    np.minimum.at(reach, text[at + 1], text[at])
+    out, batch, bound = [], -1, 0
+    for symbol, least in enumerate(reach.tolist()):
+        if symbol >= bound or least == symbol:
+            batch, bound = batch + 1, count
+        bound = min(bound, max(least, symbol + 1))
+        out.append(batch)
+    number = np.array(out, np.int64)
+    own = np.zeros(batch + 1, bool)
+    own[number[reach == np.arange(count)]] = True
+    return number, own
+
+
+def _induce(text: np.ndarray, wanted: np.ndarray, count: int, run: np.ndarray, given, first: np.ndarray):
+    """One sweep over the symbols: the ``wanted`` suffixes in order, each induced by the suffix after it.
+
+    ``given`` are ordered suffixes of the other kind; in a symbol they come after the wanted ones. Returns the wanted
+    ones, and both together, with common prefixes. The prefix two induced suffixes share is one longer than what their
+    sources share, the minimum over what lies between them; suffixes of different kinds share the shorter run of
+    their symbol.
+    """
+    number, own = _batches(text, wanted, count)
+    queue = Queue()
+    queue.push(number[text[first]], first, np.zeros(len(first), np.int64))
+    given_places, given_common = given
+    ends = np.searchsorted(number[text[given_places]], np.arange(len(own) + 1)).tolist()
+    small = np.uint16 if count < 1 << 16 else np.int64
+    induced, everything = [], []
+    for batch, loops in enumerate(own.tolist()):
+        places, common = queue.pop(batch)
+        if len(places):
+            symbols = text[places]
+            if len(symbols) > 1 and not (loops or (symbols[1:] >= symbols[:-1]).all()):
+                order = np.argsort(symbols.astype(small), kind="stable")
+                places, common, symbols = places[order], common[order], symbols[order]
+            common[0] = 0
+            common[1:][symbols[1:] != symbols[:-1]] = 0
+        if loops and len(places):
+            parts, now, shared, symbol = [(places, common)], places, common, text[places[0]]
+            while True:
+                if len(now) == 1:
+                    # a lone suffix: its whole run at once
+                    back = int(run_length_before(text, run, int(now[0])))
+                    chain = now[0] - np.arange(1, back + 1)
+                    parts.append((chain, run[chain + 1].astype(np.int64)))
+                    break
+                chosen = np.flatnonzero((now > 0) & (text[now - 1] == symbol) & wanted[now - 1])
+                if not len(chosen):
+                    break
+                shared = _among(shared, chosen) + 1
+                last, now = now[-1], now[chosen] - 1
+                shared[0] = min(run[last], run[now[0]])
+                parts.append((now, shared))
+            places, common = (np.concatenate(x) for x in zip(*parts))
+        induced.append((places, common))
+        more = slice(ends[batch], ends[batch + 1])
+        if more.start < more.stop:
+            mine = len(places)
+            places = np.concatenate([places, given_places[more]])
+            common = np.concatenate([common, given_common[more]])
+            symbols = text[places]
+            kind = np.arange(len(places)) >= mine
+            if mine:
+                order = np.argsort(symbols.astype(small), kind="stable")
+                places, common, symbols, kind = places[order], common[order], symbols[order], kind[order]
+                turn = 1 + np.flatnonzero((kind[1:] != kind[:-1]) & (symbols[1:] == symbols[:-1]))
+                common[turn] = np.minimum(run[places[turn - 1]], run[places[turn]])
+            common[0] = 0
+            common[1:][symbols[1:] != symbols[:-1]] = 0
+        everything.append((places, common))
+        chosen = np.flatnonzero((places > 0) & wanted[places - 1])
+        targets = text[places[chosen] - 1]
+        if loops:
+            other = targets != text[places[chosen]]
+            chosen, targets = chosen[other], targets[other]
+        if len(chosen):
+            order = np.argsort(targets.astype(small), kind="stable")
+            chosen, targets = chosen[order], targets[order]
+            shared = np.ones(len(chosen), np.int64)
+            same = 1 + np.flatnonzero(targets[1:] == targets[:-1])
+            shared[same] += _least(common, chosen[same - 1] + 1, chosen[same])
+            queue.push(number[targets], places[chosen] - 1, shared)
+    return tuple(tuple(np.concatenate(x) for x in zip(*parts)) for parts in (induced, everything))
+
+
+def run_length_before(text: np.ndarray, run: np.ndarray, place: int) -> int:
+    """How many equal symbols stand right before a place that holds the same symbol."""
+    low, span = place, 1
+    while low > 0:
+        at = max(low - span, 0)
+        if text[at] == text[place] and run[at] >= place - at:
+            low, span = at, span * 2
+        elif span == 1:
+            break
+        else:
+            span = 1
+    return place - low
+
+
+def _sorted(text: np.ndarray, larger: np.ndarray, count: int, run: np.ndarray, stars: np.ndarray, common: np.ndarray):
+    """All suffixes in order with common prefixes, from those of ``stars`` (which follow a larger suffix)."""
+    down, _ = _induce(text, larger, count, run, (stars, common), np.array([len(text) - 1]))
+    _, both = _induce(count - 1 - text, ~larger, count, run, _backwards(*down), np.zeros(0, np.int64))
+    return _backwards(*both)
+
+
+def sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a sequence of numbers in order (a suffix comes before those it begins), each with the length of
+    the prefix it has in common with the one before."""
+    length = len(text)
+    if length < 2:
+        return np.arange(length), np.zeros(length, np.int64)
+    values, text = np.unique(text, return_inverse=True)
+    text, count = _stored(text.astype(np.int64)), len(values)
     step = np.append(np.sign(text[:-1] - text[1:]), 1)
-    place = np.where(step != 0, np.arange(count), count)
-    larger = step[np.minimum.accumulate(place[::-1])[::-1]] > 0
+    place = np.where(step != 0, np.arange(length), length)
+    change = np.minimum.accumulate(place[::-1])[::-1]
+    larger = step[change] > 0
+    run = _stored(change - np.arange(length) + 1)
     stars = 1 + np.flatnonzero(~larger[1:] & larger[:-1])
+    shared = np.zeros(len(stars), np.int64)
     if len(stars) > 1:
-        order = _induced(text, larger, stars)
-        is_star = np.zeros(count, bool)
+        order = np.argsort(text[stars], kind="stable")
+        seeds = stars[order]
+        shared[1:] = np.where(text[seeds[1:]] == text[seeds[:-1]], UNKNOWN, 0)
+        places, common = _sorted(text, larger, count, run, seeds, shared)
+        is_star = np.zeros(length, bool)
         is_star[stars] = True
-        by_block = order[is_star[order]]
-        ends = np.append(stars[1:] + 1, count)
-        powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(count, 0x9E3779B97F4A7C1B, np.uint64))])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(text.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        block = (sums[ends] - sums[stars]) * powers[count - stars]
-        number = np.zeros(count, np.int64)
+        chosen = np.flatnonzero(is_star[places])
+        common = _among(common, chosen)
+        number = np.zeros(length, np.int64)
         number[stars] = np.arange(len(stars))
-        at = number[by_block]
-        size = ends - stars
-        new = np.concatenate([[True], (block[at[1:]] != block[at[:-1]]) | (size[at[1:]] != size[at[:-1]]) | (at[1:] == len(stars) - 1) | (at[:-1] == len(stars) - 1)])
+        at = number[places[chosen]]
+        new = common < UNKNOWN
+        new[0] = True
         names = np.zeros(len(stars), np.int64)
-        names[at] = np.cumsum(new)
+        names[at] = np.cumsum(new) - 1
+        between = common[new]
+        del places, chosen, number, is_star
         if new.all():
-            stars = by_block
+            order, blocks = at, np.zeros(len(stars), np.int64)
         else:
-            stars = stars[suffix_array(names) if new.sum() <= FEW_SYMBOLS else _doubled(names)]
-    return _induced(text, larger, stars)
+            order, blocks = sorted_suffixes(names)
+        # whole equal blocks, then what the first different ones share; at the end of a block, the runs decide
+        left, right, blocks = order[:-1], order[1:], blocks[1:]
+        one, two = left + blocks, right + blocks
+        part = _least(between, np.minimum(names[one], names[two]) + 1, np.maximum(names[one], names[two]))
+        sizes = np.append(stars[1:] + 1, length) - stars
+        shorter = np.minimum(sizes[one], sizes[two])
+        part = np.minimum(part, shorter)
+        tail = np.flatnonzero(part == shorter)
+        ends = [stars[x[tail]] + shorter[tail] - 1 for x in (one, two)]
+        part[tail] += np.minimum(run[ends[0]], run[ends[1]]) - 1
+        stars, shared = stars[order], np.concatenate([[0], stars[one] - stars[left] + part])
+    return _sorted(text, larger, count, run, stars, shared)
 
 
-def _window_hashes(data: np.ndarray, size: int, seed: int) -> np.ndarray:
-    return sequences(seeded(257, seed)[data], size)
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The order of the suffixes alone."""
+    return sorted_suffixes(text)[0]
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,15 +367,14 @@ def _repeats(doc: list[int], start: list[int], segment: list[bytes], size: int)
     owner = np.repeat(np.arange(len(parts)), lengths)
     text[np.arange(len(raw)) + owner] = raw
     base = np.cumsum(lengths + 1) - lengths - 1
-    order = suffix_array(text)
+    order, common = sorted_suffixes(text)
     whose = np.repeat(np.arange(len(parts)), lengths + 1)
     inside = np.arange(len(text)) - base[whose]
-    order = order[inside[order] <= lengths[whose[order]] - size]
-    if not len(order):
+    chosen = np.flatnonzero(inside[order] <= lengths[whose[order]] - size)
+    if not len(chosen):
         return out
-    prefixes = [_window_hashes(text, size, seed)[order] for seed in (57, 59)]
-    new = np.ones(len(order), bool)
-    new[1:] = (prefixes[0][1:] != prefixes[0][:-1]) | (prefixes[1][1:] != prefixes[1][:-1])
+    order, new = order[chosen], _among(common, chosen) < size
+    new[0] = True
     groups = np.cumsum(new) - 1
     docs = np.array([least[s] for s in parts])[whose[order]]
     smallest = np.minimum.reduceat(docs, np.flatnonzero(new))[groups]
@@ -324,8 +443,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     A sketch over all windows finds those that may repeat (a window counts in the cell of its least twenty-byte run, so
     none is lost). Only stretches of such windows are sent on, to shards of their cells; a shard keeps one copy of equal
-    stretches and sorts its suffixes by induction, recursively, with queues that spill beyond a bound. Neighbours in
-    that order with a common prefix of ``size`` bytes form the groups in which the smallest document is found.
+    stretches and sorts its suffixes by recursive induction. The tuples in its queues, which spill to disk beyond a
+    bound, carry the prefix a suffix shares with the one before, so the groups of windows follow from the order at once.
 
     Defined cases: null texts and texts below ``size`` bytes lose nothing. Strings repeated within one document only
     stay. Rows that repeat an id are one document to each other and lose what any of them loses, at the same
