@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +16,7 @@ from tidymill.llm.common import mixed, pin, seeded, slices, text_bytes, texts
 from tidymill.llm.shingles import lowest, sequences
 
 GRAM = 20  # bytes of the run that stands for a window in the sketch
+SHARD_BYTES = 4 << 20  # of stretches sorted together, but for a larger cell
 SLICE = 1 << 19  # bytes of text worked on at once
 QUEUE_BYTES = 64 << 20  # of a queue's tuples held in memory
 UNKNOWN = 1 << 40  # common prefix of suffixes not told apart yet
@@ -312,11 +313,11 @@ def _counts(size: int, by_document: bool):
     return run
 
 
-SEGMENTS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())])
+SEGMENTS = pa.schema([("cell", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())])
 
 
-def _segments(size: int, shards: int):
-    """Stretches of bytes whose windows may repeat, cut where the shard of their cells changes."""
+def _segments(size: int):
+    """Stretches of bytes whose windows may repeat, cut where their cell changes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
@@ -329,17 +330,17 @@ def _segments(size: int, shards: int):
             ends = np.searchsorted(owners, np.arange(part.num_rows + 1))
             for i, own in enumerate(part.column("hot").to_pylist()):
                 hot[ends[i] : ends[i + 1]] = np.isin(cells[ends[i] : ends[i + 1]], np.array(own, np.int64))
-            at, owners, shard = at[hot], owners[hot], (mixed(cells[hot].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            at, owners, cells = at[hot], owners[hot], cells[hot]
             if not len(at):
                 continue
-            new = _changes(owners, shard)
+            new = _changes(owners, cells)
             new[1:] |= at[1:] != at[:-1] + 1
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
             raw = data.tobytes()
             ids = part.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[first].astype(np.int32)), pa.array(ids[owners[first]])]
+                [pa.array(cells[first]), pa.array(ids[owners[first]])]
                 + [pa.array(at[first] - offsets[:-1][owners[first]])]
                 + [pa.array([raw[a : b + size] for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)], pa.binary())],
                 schema=SEGMENTS,
@@ -348,18 +349,22 @@ def _segments(size: int, shards: int):
     return run
 
 
-def _repeats(doc: list[int], start: list[int], segment: list[bytes], size: int) -> list[tuple[int, int, int]]:
+def _repeats(cell: list[int], doc: list[int], start: list[int], segment: list[bytes], size: int) -> list[tuple[int, int, int]]:
     """Windows of a shard that a smaller document holds, as (document, first start, last start)."""
-    out, least = [], {}
-    for d, s in zip(doc, segment, strict=True):
+    out, least, kinds = [], {}, Counter()
+    for c, d, s in zip(cell, doc, segment, strict=True):
+        if s not in least:
+            kinds[c] += 1
         least[s] = min(d, least.get(s, d))
     own: dict[bytes, int] = {}
-    for d, at, s in zip(doc, start, segment, strict=True):
+    for c, d, at, s in zip(cell, doc, start, segment, strict=True):
         if d > least[s]:
             out.append((d, at, at + len(s) - size))  # an equal stretch lies in a smaller document as a whole
-        else:
+        elif kinds[c] > 1:  # equal windows share their cell, so the only stretch of a cell has no partner
             own.setdefault(s, len(own))
     parts = list(own)
+    if not parts:
+        return out
     raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
     lengths = np.array([len(s) for s in parts])
     # a zero ends each stretch
@@ -381,7 +386,7 @@ def _repeats(doc: list[int], start: list[int], segment: list[bytes], size: int)
     gone = np.zeros(len(text), bool)
     gone[order[docs > smallest]] = True
     for d, at, s in zip(doc, start, segment, strict=True):
-        if d == least[s]:
+        if d == least[s] and s in own:
             here = np.flatnonzero(gone[base[own[s]] : base[own[s]] + len(s)])
             if len(here):
                 cuts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1] + 1]))
@@ -390,24 +395,30 @@ def _repeats(doc: list[int], start: list[int], segment: list[bytes], size: int)
 
 
 def _resolve(size: int):
+    """Repeats of each shard: whole cells one after the other until their stretches pass a bound."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
-        last = None
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        last, amount, interned = None, 0, {}
 
         def flush() -> pa.RecordBatch:
             found = _repeats(*held, size)
-            for x in held:
+            for x in (*held, interned):
                 x.clear()
             columns = [pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), (), ()))]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "first", "last"])
 
         for batch in batches:
-            for shard, *row in zip(*(batch.column(c).to_pylist() for c in SEGMENTS.names), strict=True):
-                if shard != last and held[0]:
+            for cell, doc, at, segment in zip(*(batch.column(c).to_pylist() for c in SEGMENTS.names), strict=True):
+                if amount > SHARD_BYTES and cell != last:
                     yield flush()
-                last = shard
-                for x, v in zip(held, row, strict=True):
+                    amount = 0
+                last = cell
+                if segment not in interned:
+                    amount += len(segment)
+                for x, v in zip(held, (cell, doc, at, interned.setdefault(segment, segment)), strict=True):
                     x.append(v)
+                amount += 40
         if held[0]:
             yield flush()
 
@@ -442,8 +453,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     Returns ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (the bytes that stay) for every row.
 
     A sketch over all windows finds those that may repeat (a window counts in the cell of its least twenty-byte run, so
-    none is lost). Only stretches of such windows are sent on, to shards of their cells; a shard keeps one copy of equal
-    stretches and sorts its suffixes by recursive induction. The tuples in its queues, which spill to disk beyond a
+    none is lost). Only stretches of such windows are sent on, by cell, and form shards of bounded size; a shard keeps one copy of
+    equal stretches and sorts the suffixes of those that share a cell with others by recursive induction. The tuples in its queues, which spill to disk beyond a
     bound, carry the prefix a suffix shares with the one before, so the groups of windows follow from the order at once.
 
     Defined cases: null texts and texts below ``size`` bytes lose nothing. Strings repeated within one document only
@@ -456,10 +467,9 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     hot = pin(sketch.filter("n > 1").select("cell"))
     own = known.mapInArrow(_counts(size, True), "cell bigint, doc_id bigint")
     hot_cells = own.join(hot, "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the same exchange of the texts serves both joins
-    found = rows.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size, shards), "shard int, doc_id bigint, start bigint, segment binary")
-    settled = found.repartition("shard").sortWithinPartitions("shard").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
+    found = rows.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size), "cell bigint, doc_id bigint, start bigint, segment binary")
+    settled = found.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
     spans = settled.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return rows.join(spans, "doc_id", "left").mapInArrow(
         _cut(size), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
