@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidymill.llm.common import mixed, pin, seeded, slices, text_bytes, texts
+from tidymill.llm.common import seeded, slices, text_bytes, texts
 from tidymill.llm.shingles import lowest, sequences
 
 GRAM = 20  # bytes of the run that stands for a window in the sketch
@@ -289,26 +289,22 @@ def _changes(owners: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return new
 
 
-def _counts(size: int, by_document: bool):
-    """Partial sketch of a slice (cell, number of documents, 2 for more), or the cells of each document."""
+def _own_cells(size: int):
+    """The cells of each document, once for every document of a slice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
+            part = part.filter(pc.is_valid(part.column("doc_id")))
+            if not part.num_rows:
+                continue
             _, owners, cells = _cells(*text_bytes(part.column("text")), size)
             new = _changes(owners, cells)
             owners, cells = owners[new], cells[new]
             order = np.lexsort((owners, cells))
             owners, cells = owners[order], cells[order]
             new = _changes(owners, cells)
-            owners, cells = owners[new], cells[new]
-            if by_document:
-                ids = part.column("doc_id").to_numpy()[owners]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids)], ["cell", "doc_id"])
-            else:
-                found, n = np.unique(cells, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.minimum(n, 2).astype(np.int32))], ["cell", "n"]
-                )
+            ids = part.column("doc_id").to_numpy()[owners[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[new]), pa.array(ids)], ["cell", "doc_id"])
 
     return run
 
@@ -452,8 +448,9 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     Returns ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (the bytes that stay) for every row.
 
-    A sketch over all windows finds those that may repeat (a window counts in the cell of its least twenty-byte run, so
-    none is lost). Only stretches of such windows are sent on, by cell, and form shards of bounded size; a shard keeps one copy of
+    A text equal to that of a smaller document (by digest) goes as a whole and takes no further part. Of the others,
+    cells tell which windows may repeat (a window is in the cell of its least twenty-byte run, so none is lost).
+    Only stretches of such windows are sent on, by cell, and form shards of bounded size; a shard keeps one copy of
     equal stretches and sorts the suffixes of those that share a cell with others by recursive induction. The tuples in its queues, which spill to disk beyond a
     bound, carry the prefix a suffix shares with the one before, so the groups of windows follow from the order at once.
 
@@ -462,14 +459,20 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     places. Rows with a null id are left as they are and do not count. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    known = rows.filter("doc_id IS NOT NULL")
-    sketch = known.mapInArrow(_counts(size, False), "cell bigint, n int").groupBy("cell").agg(F.sum("n").alias("n"))
-    hot = pin(sketch.filter("n > 1").select("cell"))
-    own = known.mapInArrow(_counts(size, True), "cell bigint, doc_id bigint")
+    digests = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size)).select("doc_id", F.sha2("text", 256).alias("digest"))
+    least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    copies = digests.join(least, "digest").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    # one exchange of the texts by id serves all joins below, so no filter may reach under it
+    copied = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False))
+    base = rows.join(copies, "doc_id", "left").withColumn("copied", copied)
+    first = base.filter("NOT copied").select("doc_id", "text")
+    own = first.mapInArrow(_own_cells(size), "cell bigint, doc_id bigint").repartition("cell")
+    hot = own.groupBy("cell").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("cell")
     hot_cells = own.join(hot, "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
-    # the same exchange of the texts serves both joins
-    found = rows.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size), "cell bigint, doc_id bigint, start bigint, segment binary")
+    found = first.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size), "cell bigint, doc_id bigint, start bigint, segment binary")
     settled = found.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
+    whole = base.filter("copied").select("doc_id", F.lit(0).cast("bigint").alias("first"), (F.octet_length("text") - size).cast("bigint").alias("last"))
+    settled = settled.union(whole)
     spans = settled.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return rows.join(spans, "doc_id", "left").mapInArrow(
         _cut(size), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
