@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidymill.llm.common import seeded, slices, text_bytes, texts
@@ -466,9 +466,10 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     copied = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False))
     base = rows.join(copies, "doc_id", "left").withColumn("copied", copied)
     first = base.filter("NOT copied").select("doc_id", "text")
-    own = first.mapInArrow(_own_cells(size), "cell bigint, doc_id bigint").repartition("cell")
-    hot = own.groupBy("cell").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("cell")
-    hot_cells = own.join(hot, "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
+    own = first.mapInArrow(_own_cells(size), "cell bigint, doc_id bigint")
+    everywhere = Window.partitionBy("cell")
+    shared = own.select("cell", "doc_id", F.min("doc_id").over(everywhere).alias("least"), F.max("doc_id").over(everywhere).alias("most"))
+    hot_cells = shared.filter("least < most").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
     found = first.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size), "cell bigint, doc_id bigint, start bigint, segment binary")
     settled = found.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
     whole = base.filter("copied").select("doc_id", F.lit(0).cast("bigint").alias("first"), (F.octet_length("text") - size).cast("bigint").alias("last"))
