@@ -144,6 +144,11 @@ def test_status_history(spark):
 # --- catalog -----------------------------------------------------------------------------------
 
 
+def test_closure_of_a_long_chain(spark):
+    cats = spark.range(1, 31).selectExpr("id", "id - 1 AS parent_id", "'x' AS name")
+    assert {(r.id, r.depth) for r in G.category_closure(cats, 1).collect()} == {(i, i - 1) for i in range(1, 31)}
+
+
 def test_closure_of_a_deep_tree_with_a_cycle(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 1), (6, 9), (7, 8), (8, 7)]
     cats = spark.createDataFrame(edges, "id bigint, parent_id bigint")

@@ -11,7 +11,6 @@ from tidymill.operators.cells import band, cells, field_position, first_k, sampl
 from tidymill.sources.numbering import data_columns
 
 SAMPLE_VALUES = 3
-INFERENCE_VALUES = 5000
 
 # Type labels, and the ones a user may choose.
 TYPES = ("integer", "decimal", "date", "boolean", "text", "mixed")
@@ -65,11 +64,10 @@ def _label(n: Column, ints: Column, floats: Column, thousands: Column, bools: Co
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Label every column from its first 5,000 non-missing values."""
+    """Label every column from the shapes of all its non-missing values."""
     columns = data_columns(df)
-    seen = first_k(cells(df).where(~F.col("missing")), ["field"], INFERENCE_VALUES, len(columns))
     value = F.col("text")
-    counts = seen.groupBy("field").agg(
+    counts = cells(df).where(~F.col("missing")).groupBy("field").agg(
         F.count("*").alias("n"),
         F.count_if(value.rlike(T.INTEGER)).alias("ints"),
         F.count_if(value.rlike(T.FLOAT)).alias("floats"),
@@ -94,7 +92,7 @@ def table_stats(df: DataFrame) -> DataFrame:
     """Row and column count; a table without columns is an error."""
     columns = data_columns(df)
     if not columns:
-        raise ValueError("文件内容为空，无法解析")
+        raise ValueError("a table without columns has no catalog")
     return df.agg(F.count("*").alias("row_count")).withColumn(
         "col_count", F.lit(len(columns)).cast("bigint")
     )

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidymill.functions.markup import snippet_around, tags_parse
+from tidymill.session import pin
 
 MAX_PAGE_SIZE = 100
-MAX_DEPTH = 100
+LEVELS_TOGETHER = 20  # levels read one by one before they are written as one table
 
 
 def matches(col: Column, keyword: str) -> Column:
@@ -171,28 +172,20 @@ def list_docs(docs: DataFrame, categories: DataFrame, category_id: int | None =
 def category_closure(categories: DataFrame, root: int) -> DataFrame:
     """A category and all its descendants, any depth, with the depth at which each is first met.
 
-    Only categories that have children take part in the recursion; leaves are added by one join at
-    the end. A depth bound stops on cycles, and ids reached twice count once.
+    Each level is one join of the categories with those met last; it ends when a level brings no new id, so a chain
+    of any length is followed to its end and cycles stop by themselves. Levels are written to the shared folder.
     """
-    return categories.sparkSession.sql(
-        f"""
-        WITH RECURSIVE inner_nodes AS (
-            SELECT c.id, c.parent_id FROM {{categories}} c
-            LEFT SEMI JOIN {{categories}} k ON k.parent_id = c.id
-        ), below(id, depth) MAX RECURSION LEVEL {MAX_DEPTH + 2} AS (
-            SELECT id, 0 FROM {{categories}} WHERE id = {int(root)}
-            UNION ALL
-            SELECT n.id, b.depth + 1 FROM inner_nodes n JOIN below b ON n.parent_id = b.id
-            WHERE b.depth < {MAX_DEPTH}
-        ), parents AS (SELECT id, min(depth) AS depth FROM below GROUP BY id)
-        SELECT id, min(depth) AS depth FROM (
-            SELECT id, depth FROM parents
-            UNION ALL
-            SELECT c.id, p.depth + 1 FROM {{categories}} c JOIN parents p ON c.parent_id = p.id
-        ) GROUP BY id
-        """,
-        categories=categories,
-    )
+    tree = categories.select("id", "parent_id")
+    level = pin(tree.where(F.col("id") == int(root)).select("id").distinct().withColumn("depth", F.lit(0)))
+    met, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        children = tree.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        level = pin(children.join(met, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        met = met.union(level)
+        if depth % LEVELS_TOGETHER == 0:
+            met = pin(met)
+    return met
 
 
 # --- saved queries ----------------------------------------------------------------------------

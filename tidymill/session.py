@@ -69,18 +69,3 @@ def pin(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_INPUT_BYTES = 128 << 20  # one scan split
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share a small input among the cores right after reading, before work that is heavy per row.
-
-    A file below one split is read by a single task, whatever the number of cores. Spark's own size
-    estimate decides; anything larger already comes in many splits and is left alone.
-    """
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

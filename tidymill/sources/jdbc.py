@@ -15,7 +15,7 @@ _DRIVERS = {
 def _kind(config: dict) -> tuple[str, str, int, str]:
     name = str(config.get("type", "")).lower()
     if name not in _DRIVERS:
-        raise ValueError(f"不支持的数据库类型「{name}」")
+        raise ValueError(f"no JDBC settings for {name!r}; known: {', '.join(_DRIVERS)}")
     return _DRIVERS[name]
 
 
@@ -38,9 +38,9 @@ def connection_options(config: dict) -> dict[str, str]:
     }
 
 
-def query_options(config: dict, sql: str) -> dict[str, str]:
-    """Options for one guarded SELECT; the database runs it, with its LIMIT."""
-    return {**connection_options(config), "query": check_select(sql)}
+def query_options(config: dict, sql: str, limit: int | None = None) -> dict[str, str]:
+    """Options for one guarded SELECT, which the database runs; all its rows unless ``limit`` is given."""
+    return {**connection_options(config), "query": check_select(sql, limit)}
 
 
 def table_options(
@@ -56,7 +56,7 @@ def table_options(
     options = {**connection_options(config), "dbtable": quote_name(config, table)}
     if partition_column:
         if lower is None or upper is None or partitions < 1:
-            raise ValueError("并行读取需指定 lower、upper 与 partitions")
+            raise ValueError("a partition column needs lower, upper and at least one partition")
         options |= {
             "partitionColumn": partition_column,
             "lowerBound": str(lower),
@@ -70,5 +70,5 @@ def read_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     """Load what the options describe; an empty result is an error."""
     df = spark.read.format("jdbc").options(**options).load()
     if df.isEmpty():
-        raise ValueError("查询结果为空，无可导入数据")
+        raise ValueError("the query has no rows to import")
     return df

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidymill.session import spread
 from tidymill.sources.numbering import ROW_NO, data_columns, number_splits
 
 # Encodings that are accepted.
@@ -26,7 +25,7 @@ def read_text_table(
     rows get ``row_no`` in file order, paths ascending.
     """
     if encoding.lower() not in ENCODINGS:
-        raise ValueError(f"不支持的编码「{encoding}」，可选：{'、'.join(ENCODINGS)}")
+        raise ValueError(f"encoding {encoding!r} is not one of {', '.join(ENCODINGS)}")
     raw = (
         spark.read.option("header", True)
         .option("encoding", ENCODINGS[encoding.lower()])
@@ -35,10 +34,10 @@ def read_text_table(
         .csv(path)
     )
     if not raw.columns:
-        raise ValueError("文件内容为空，无法解析")
+        raise ValueError(f"no header row in {path}")
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]
     if not numbered:
-        return spread(raw.select(*cells))
+        return raw.select(*cells)
     return number_splits(
         raw.select(
             *cells,

@@ -10,8 +10,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidymill.session import spread
-
 
 class Tables:
     """Lazy access to the given and the derived tables of one data folder."""
@@ -23,10 +21,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def shared(self, name: str, key: str) -> DataFrame:
-        """A table that gets heavy work per row: shared among the cores when it is one split."""
-        return spread(self.read(name), key)
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -38,7 +32,7 @@ class Tables:
     def dirty_orders(self) -> DataFrame:
         """Orders as text: three date styles, thousands texts, negatives, bad ages, gaps, copies."""
         return (
-            self.shared("orders", "o_orderkey")
+            self.read("orders")
             .selectExpr(
                 "*",
                 "explode(CASE WHEN o_orderkey % 250 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
@@ -64,7 +58,7 @@ class Tables:
     @cached_property
     def dirty_users(self) -> DataFrame:
         """Customers as text: padded cities, empty names, phones and ids of wrong length."""
-        return self.shared("customer", "c_custkey").selectExpr(
+        return self.read("customer").selectExpr(
             "c_custkey + 1 AS row_no",
             "CAST(c_custkey AS STRING) AS id",
             "CASE WHEN c_custkey % 40 = 1 THEN '' ELSE c_name END AS name",
@@ -212,7 +206,7 @@ class Tables:
     @cached_property
     def texts(self) -> DataFrame:
         """Source texts with field names and citations, and generated text with invented numbers."""
-        return self.shared("documents", "doc_id").selectExpr(
+        return self.read("documents").selectExpr(
             "doc_id",
             "text",
             "array(lang, concat(source, '_2024')) AS fields",

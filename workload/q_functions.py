@@ -255,7 +255,7 @@ _SELECT = """SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_orderke
     FROM {orders} GROUP BY o_orderstatus, o_orderpriority -- per state"""
 
 
-@query("s3_guarded_select", _SELECT.replace("{orders}", "orders") + "\nLIMIT 10000")
+@query("s3_guarded_select", _SELECT.replace("{orders}", "orders"))
 def s3(t: Tables):
     return guarded_select(t.spark, _SELECT, orders=t.orders)
 
@@ -309,8 +309,7 @@ def c1_users(t: Tables):
 
 
 _TYPES = f"""seen AS (
-    SELECT position, field, {X.strip('value')} AS v,
-           row_number() OVER (PARTITION BY field ORDER BY row_no) AS k
+    SELECT position, field, {X.strip('value')} AS v
     FROM long WHERE NOT {X.missing('value')}),
 shapes AS (
     SELECT position, field, count(*) AS n,
@@ -319,7 +318,7 @@ shapes AS (
       count(*) FILTER ({X.thousands('v')}) AS th,
       count(*) FILTER (lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n', '是', '否')) AS b,
       count(*) FILTER ({X.date_text('v')}) AS d
-    FROM seen WHERE k <= 5000 GROUP BY position, field),
+    FROM seen GROUP BY position, field),
 labels AS (
     SELECT *, CASE WHEN b = n THEN 'boolean' WHEN d = n THEN 'date'
         WHEN i + f = n THEN CASE WHEN f > 0 THEN 'decimal' ELSE 'integer' END
