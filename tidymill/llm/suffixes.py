@@ -459,9 +459,12 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     places. Rows with a null id are left as they are and do not count. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    digests = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size)).select("doc_id", F.sha2("text", 256).alias("digest"))
+    digests = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size)).select(
+        "doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n")
+    )
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    copies = digests.join(least, "digest").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    later = digests.join(least, "digest").filter("doc_id > least")
+    copies = later.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
     # one exchange of the texts by id serves all joins below, so no filter may reach under it
     copied = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False))
     base = rows.join(copies, "doc_id", "left").withColumn("copied", copied)
@@ -472,7 +475,7 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     hot_cells = shared.filter("least < most").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
     found = first.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size), "cell bigint, doc_id bigint, start bigint, segment binary")
     settled = found.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
-    whole = base.filter("copied").select("doc_id", F.lit(0).cast("bigint").alias("first"), (F.octet_length("text") - size).cast("bigint").alias("last"))
+    whole = later.select("doc_id", F.lit(0).cast("bigint").alias("first"), (F.col("n") - size).cast("bigint").alias("last"))
     settled = settled.union(whole)
     spans = settled.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return rows.join(spans, "doc_id", "left").mapInArrow(
