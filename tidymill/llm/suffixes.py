@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -110,16 +110,18 @@ def _batches(text: np.ndarray, wanted: np.ndarray, count: int) -> tuple[np.ndarr
     reach = np.full(count, count, np.int64)
     at = np.flatnonzero(wanted[:-1])
     np.minimum.at(reach, text[at + 1], text[at])
-    out, batch, bound = [], -1, 0
-    for symbol, least in enumerate(reach.tolist()):
-        if symbol >= bound or least == symbol:
-            batch, bound = batch + 1, count
-        bound = min(bound, max(least, symbol + 1))
-        out.append(batch)
-    number = np.array(out, np.int64)
-    own = np.zeros(batch + 1, bool)
-    own[number[reach == np.arange(count)]] = True
-    return number, own
+    own = reach == np.arange(count)
+    starts, bound = np.zeros(count, bool), 0
+    opened = []
+    for symbol, (least, loops) in enumerate(zip(np.maximum(reach, np.arange(1, count + 1)).tolist(), own.tolist(), strict=True)):
+        if loops or symbol >= bound:
+            opened.append(symbol)
+            bound = least
+        elif least < bound:
+            bound = least
+    starts[opened] = True
+    number = np.cumsum(starts) - 1
+    return number, own[opened]
 
 
 def _induce(text: np.ndarray, wanted: np.ndarray, count: int, run: np.ndarray, given, first: np.ndarray):
@@ -345,77 +347,107 @@ def _segments(size: int):
     return run
 
 
-def _repeats(cell: list[int], doc: list[int], start: list[int], segment: list[bytes], size: int) -> list[tuple[int, int, int]]:
-    """Windows of a shard that a smaller document holds, as (document, first start, last start)."""
-    out, least, kinds = [], {}, Counter()
-    for c, d, s in zip(cell, doc, segment, strict=True):
-        if s not in least:
-            kinds[c] += 1
-        least[s] = min(d, least.get(s, d))
-    own: dict[bytes, int] = {}
-    for c, d, at, s in zip(cell, doc, start, segment, strict=True):
-        if d > least[s]:
-            out.append((d, at, at + len(s) - size))  # an equal stretch lies in a smaller document as a whole
-        elif kinds[c] > 1:  # equal windows share their cell, so the only stretch of a cell has no partner
-            own.setdefault(s, len(own))
-    parts = list(own)
-    if not parts:
-        return out
-    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
-    lengths = np.array([len(s) for s in parts])
+def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each stretch of consecutive numbers among ascending ones."""
+    new = np.ones(len(marked), bool)
+    new[1:] = marked[1:] != marked[:-1] + 1
+    first = np.flatnonzero(new)
+    return marked[first], marked[np.append(first[1:], len(marked)) - 1] if len(marked) else marked
+
+
+def _repeats(cell: np.ndarray, doc: np.ndarray, start: np.ndarray, code: np.ndarray, segments: list[bytes], size: int) -> np.ndarray:
+    """Windows of a shard that a smaller document holds, as rows (document, first start, last start).
+
+    ``code`` numbers the distinct stretches, whose bytes are ``segments``.
+    """
+    lengths = np.array([len(s) for s in segments])
+    least = np.full(len(segments), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, doc)
+    # an equal stretch lies in a smaller document as a whole
+    whole = doc > least[code]
+    out = [np.stack([doc[whole], start[whole], start[whole] + lengths[code[whole]] - size], axis=1)]
+    # equal windows share their cell, so the only stretch of a cell has no partner
+    cell_of = np.zeros(len(segments), np.int64)
+    cell_of[code] = cell
+    _, kind, kinds = np.unique(cell_of, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(kinds[kind] > 1)
+    if not len(own):
+        return out[0]
+    raw = np.frombuffer(b"".join([segments[i] for i in own.tolist()]), np.uint8).astype(np.int64) + 1
+    lengths = lengths[own]
     # a zero ends each stretch
-    text = np.zeros(len(raw) + len(parts), np.int64)
-    owner = np.repeat(np.arange(len(parts)), lengths)
-    text[np.arange(len(raw)) + owner] = raw
+    text = np.zeros(len(raw) + len(own), np.int64)
+    text[np.arange(len(raw)) + np.repeat(np.arange(len(own)), lengths)] = raw
     base = np.cumsum(lengths + 1) - lengths - 1
     order, common = sorted_suffixes(text)
-    whose = np.repeat(np.arange(len(parts)), lengths + 1)
+    whose = np.repeat(np.arange(len(own)), lengths + 1)
     inside = np.arange(len(text)) - base[whose]
-    chosen = np.flatnonzero(inside[order] <= lengths[whose[order]] - size)
+    chosen = np.flatnonzero((inside <= lengths[whose] - size)[order])
     if not len(chosen):
-        return out
+        return out[0]
     order, new = order[chosen], _among(common, chosen) < size
     new[0] = True
-    groups = np.cumsum(new) - 1
-    docs = np.array([least[s] for s in parts])[whose[order]]
-    smallest = np.minimum.reduceat(docs, np.flatnonzero(new))[groups]
+    docs = least[own][whose[order]]
+    smallest = np.minimum.reduceat(docs, np.flatnonzero(new))[np.cumsum(new) - 1]
     gone = np.zeros(len(text), bool)
     gone[order[docs > smallest]] = True
-    for d, at, s in zip(doc, start, segment, strict=True):
-        if d == least[s] and s in own:
-            here = np.flatnonzero(gone[base[own[s]] : base[own[s]] + len(s)])
-            if len(here):
-                cuts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1] + 1]))
-                out += [(d, at + int(a), at + int(b)) for a, b in zip(here[cuts], here[np.append(cuts[1:], len(here)) - 1], strict=True)]
-    return out
+    first, last = _runs(np.flatnonzero(gone))  # the zero between two stretches is never marked
+    part = whose[first]
+    place = np.full(len(segments), -1)
+    place[own] = np.arange(len(own))
+    rows = np.flatnonzero(~whole & (place[code] >= 0))
+    at = place[code[rows]]
+    low = np.searchsorted(part, at)
+    count = np.searchsorted(part, at, side="right") - low
+    rows, at = np.repeat(rows, count), np.repeat(at, count)
+    run = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(rows))
+    shift = start[rows] - base[at]
+    out.append(np.stack([doc[rows], shift + first[run], shift + last[run]], axis=1))
+    return np.concatenate(out)
 
 
 def _resolve(size: int):
     """Repeats of each shard: whole cells one after the other until their stretches pass a bound."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
-        last, amount, interned = None, 0, {}
+        held: list[np.ndarray] = []
+        segments: dict[bytes, int] = {}
+        last, amount = None, 0
 
         def flush() -> pa.RecordBatch:
-            found = _repeats(*held, size)
-            for x in (*held, interned):
-                x.clear()
-            columns = [pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), (), ()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "first", "last"])
+            found = _repeats(*np.concatenate(held, axis=1), list(segments), size)
+            held.clear()
+            segments.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found.T], ["doc_id", "first", "last"])
 
         for batch in batches:
-            for cell, doc, at, segment in zip(*(batch.column(c).to_pylist() for c in SEGMENTS.names), strict=True):
-                if amount > SHARD_BYTES and cell != last:
+            while batch.num_rows:
+                cell = batch.column("cell").to_numpy()
+                coded = batch.column("segment").dictionary_encode()
+                known, local = len(segments), coded.indices.to_numpy()
+                codes = np.array([segments.setdefault(x, len(segments)) for x in coded.dictionary.to_pylist()], np.int64)
+                first = np.ones(len(local), bool)
+                first[1:] = local[1:] > np.maximum.accumulate(local)[:-1]  # places of a dictionary follow the rows
+                sizes = pc.binary_length(batch.column("segment")).to_numpy()
+                grown = amount + np.cumsum(np.where(first & (codes[local] >= known), sizes, 0) + 40)
+                turn = np.ones(len(cell), bool)
+                turn[1:] = cell[1:] != cell[:-1]
+                turn[0] = last is not None and cell[0] != last
+                before = np.concatenate([[amount], grown[:-1]])
+                full = np.flatnonzero(turn & (before > SHARD_BYTES))
+                end = int(full[0]) if len(full) else len(cell)
+                if end:
+                    ids, starts = (batch.column(c).to_numpy()[:end] for c in ("doc_id", "start"))
+                    held.append(np.stack([cell[:end], ids, starts, codes[local[:end]]]))
+                    last, amount = int(cell[end - 1]), int(grown[end - 1])
+                if len(full):
+                    taken = int(local[:end].max(initial=-1)) + 1
+                    for extra in list(segments)[max(known, int(codes[:taken].max(initial=-1)) + 1) :]:
+                        del segments[extra]
                     yield flush()
-                    amount = 0
-                last = cell
-                if segment not in interned:
-                    amount += len(segment)
-                for x, v in zip(held, (cell, doc, at, interned.setdefault(segment, segment)), strict=True):
-                    x.append(v)
-                amount += 40
-        if held[0]:
+                    last, amount = None, 0
+                batch = batch.slice(end)
+        if held:
             yield flush()
 
     return run
