@@ -73,7 +73,7 @@ def test_date_patterns(spark):
     assert apply(spark, lambda c: D.format_date(c, "%Y年%m月%d日"), ["2026/9/1"]) == ["2026年09月01日"]
     assert apply(spark, lambda c: D.format_date(c, "DD.MM.YYYY"), ["2026/9/1"]) == ["01.09.2026"]
     assert apply(spark, lambda c: D.format_date(c, "at %H:%M"), ["2026/9/1 7:05"]) == ["at 07:05"]
-    with pytest.raises(ValueError, match="格式符"):
+    with pytest.raises(ValueError, match="date format"):
         D.spark_pattern("%j")
 
 
@@ -136,7 +136,17 @@ def test_summary_text_utf8_then_gbk(spark):
     raw = ["  中文摘要 ".encode(), "中文摘要".encode("gbk"), ("x" * 3000).encode()]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, v binary")
     got = [r[0] for r in df.orderBy("i").select(M.summary_text(F.col("v"))).collect()]
-    assert got == ["中文摘要", "中文摘要", "x" * 2000]
+    assert got == ["中文摘要", "中文摘要", "x" * 3000]
+    assert df.where("i = 2").select(M.summary_text(F.col("v"), 2000)).first()[0] == "x" * 2000
+    neither = spark.createDataFrame([(bytes([0x41, 0xFF, 0xFF]),)], "v binary")
+    assert neither.select(M.summary_text(F.col("v"))).first()[0].startswith("A\ufffd")
+
+
+def test_character_references_of_every_kind(spark):
+    raw = ["&copy;&eacute;&hellip;", "&#9999999;", "&#xD800;", "&#128;", "&#0;", "&#00000065;&#x41;", "&nosuch; &amp", "&#99999999999999999999;"]
+    assert apply(spark, M.unescape_html, raw) == [
+        "©é…", "\ufffd", "\ufffd", "€", "\ufffd", "AA", "&nosuch; &amp", "\ufffd"
+    ]
 
 
 # --- provenance --------------------------------------------------------------------------------

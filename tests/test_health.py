@@ -21,7 +21,7 @@ def test_duplicates_and_their_samples(table):
     assert tuple(H.duplicate_counts(df).first()) == (9, 2)
     assert tuple(H.duplicates_by(df, ["a"]).first()) == (10, 3)
     assert H.duplicates_by(df, ["b", "a"]) is None
-    with pytest.raises(ValueError, match="指定列不存在：c"):
+    with pytest.raises(ValueError, match="no such columns: c"):
         H.duplicates_by(df, ["c"])
     got = {r.first_row: (r.row_nos, r.extra, r.a) for r in H.duplicate_samples(df).collect()}
     assert got == {1: ([1, 2, 3, 4, 5, 6], 3, "1"), 11: ([11, 12], 0, "3")}

@@ -67,7 +67,7 @@ def spark_pattern(output_format: str | None) -> str:
             out += [flush(), _FORMAT_TOKENS[piece]]
             literal = ""
         elif len(piece) == 2:
-            raise ValueError(f"不支持的日期格式符「{piece}」")
+            raise ValueError(f"a date format cannot hold {piece!r}")
         else:
             literal += piece
     return "".join([*out, flush()])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidymill.functions.text import strip
 
-# Named character references that are decoded.
-ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0"}
-_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos|nbsp);"
+# named character references, those that end in a semicolon
+ENTITIES = {name.removesuffix(";"): text for name, text in html5.items() if name.endswith(";")}
+_ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# numbers of the C1 block stand for what Windows-1252 has there
+_C1 = {n: text for n in range(0x80, 0xA0) if (text := bytes([n]).decode("cp1252", "ignore"))}
 
 
 def replace_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
@@ -32,21 +36,27 @@ def escape_html(text: Column) -> Column:
 
 
 def _code_point(number: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
+    """The character of a number; U+FFFD for what is none (zero, surrogates, beyond U+10FFFF)."""
+    n = number.try_cast("bigint")
+    valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    c1 = F.create_map(*[F.lit(x) for kv in _C1.items() for x in kv])
+    return F.when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(c1, n.cast("int")), plain)).otherwise(plain)
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode the references in ``ENTITIES`` and numeric ones in a single pass."""
-    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    """Decode named and numeric references in a single pass; names that are none stay as they are."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folded to one literal
 
     def decode(ref: Column) -> Column:
-        body = F.substring(ref, 2, 8)
-        body = F.rtrim(body, F.lit(";"))
-        is_hex = body.rlike("^#[xX]")
+        body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+        # more digits than any number has, leading zeros apart, are no character
+        digits = F.regexp_replace(body, "^#[xX]?0*", "")
+        short = F.when(F.length(digits) <= 8, digits)
         return (
-            F.when(is_hex, _code_point(F.conv(F.substring(body, 3, 6), 16, 10)))
-            .when(body.startswith("#"), _code_point(F.substring(body, 2, 7)))
-            .otherwise(F.try_element_at(names, body))
+            F.when(body.rlike("^#[xX]"), _code_point(F.conv(short, 16, 10)))
+            .when(body.startswith("#"), _code_point(short))
+            .otherwise(F.coalesce(F.try_element_at(names, body), ref))
         )
 
     return replace_matches(text, _ENTITY, decode)
@@ -103,8 +113,12 @@ def mask_fields(text: Column, names: Iterable[str], placeholder: str = "[已脱
     return out
 
 
-def summary_text(content: Column, limit: int = 2000) -> Column:
-    """First ``limit`` characters of a text file held as BINARY: UTF-8, else GBK."""
+def summary_text(content: Column, limit: int | None = None) -> Column:
+    """A text file held as BINARY, trimmed: UTF-8, else GBK; at most ``limit`` characters if given.
+
+    Bytes that are neither become U+FFFD where ``spark.sql.legacy.codingErrorAction`` is set (``local_session``).
+    """
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
     gbk = F.decode(content, "GBK")
-    return F.substring(strip(F.coalesce(utf8, gbk)), 1, limit)
+    text = strip(F.coalesce(utf8, gbk))
+    return text if limit is None else F.substring(text, 1, limit)

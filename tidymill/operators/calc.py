@@ -25,16 +25,16 @@ def _aggregate(field: str, agg: str) -> Column:
     if agg == "count_nonnull":
         return F.count_if(~T.is_missing(F.col(field))).cast("double")
     found = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}[agg](number)
-    problem = F.raise_error(F.lit(f"字段「{field}」无法转换为数值，不能计算{AGGREGATES[agg]}"))
+    problem = F.raise_error(F.lit(f"no {agg} of {field!r}: it holds text that is not a number"))
     return F.coalesce(found, problem.cast("double"))
 
 
 def calc(df: DataFrame, field: str, agg: str) -> DataFrame:
     """``(field, agg, agg_label, value, value_text, rows_used)``; one pass over one column."""
     if agg not in AGGREGATES:
-        raise ValueError(f"不支持的聚合方式「{agg}」，可选：{'/'.join(AGGREGATES)}")
+        raise ValueError(f"{agg!r} is not one of the aggregates {', '.join(AGGREGATES)}")
     if field not in df.columns:
-        raise ValueError(f"文件中不存在字段「{field}」")
+        raise ValueError(f"the table has no field {field!r}")
     found = df.agg(F.count("*").alias("rows_used"), _aggregate(field, agg).alias("v"))
     return found.select(
         F.lit(field).alias("field"),

@@ -52,7 +52,7 @@ def field_profile(df: DataFrame) -> DataFrame:
     """One row per column with every count and moment the sections below need."""
     columns = data_columns(df)
     if not columns:
-        raise ValueError("文件内容为空，无法体检")
+        raise ValueError("a profile needs at least one column")
     text, there = F.col("text"), ~F.col("missing")
     number = F.when(there, T.parse_number(text))
     dated = there & D.date_shaped(text)
@@ -114,7 +114,7 @@ def _dup_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
         return everything
     unknown = [c for c in columns if c not in everything]
     if unknown:
-        raise ValueError(f"指定列不存在：{'、'.join(unknown)}")
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
     return list(columns)
 
 
@@ -312,7 +312,7 @@ def _bad_cells(df: DataFrame, kind: str) -> DataFrame:
         return cells(df, columns_like(df, IDCARD_WORDS)).where(there & ~text.rlike(T.IDCARD))
     if kind == "space":
         return cells(df).where(there & (F.col("value") != text)).withColumn("text", F.col("value"))
-    raise ValueError(f"不支持的格式检查「{kind}」")
+    raise ValueError(f"no format check is called {kind!r}")
 
 
 def bad_format_counts(df: DataFrame, kind: str) -> DataFrame:

@@ -23,7 +23,7 @@ SPAN_MARK = 'class="unsourced"'
 # Shape of a citation.
 REF_SCHEMA = (
     "array<struct<file_id:bigint,file_name:string,field:string,agg:string,agg_label:string,"
-    "value:double,ts:string>>"
+    "value:string,ts:string>>"
 )
 
 
@@ -134,7 +134,7 @@ def explode_refs(reports: DataFrame, refs: str = "refs_json") -> DataFrame:
     listed = reports.select("id", _refs(refs).alias("_r"))
     return listed.select(
         "id", F.size("_r").cast("bigint").alias("refs_cnt"), F.posexplode_outer("_r").alias("pos", "ref")
-    ).select("id", "refs_cnt", "pos", "ref.field", "ref.agg", "ref.agg_label", "ref.value")
+    ).select("id", "refs_cnt", "pos", "ref.field", "ref.agg", "ref.agg_label", F.col("ref.value").try_cast("double").alias("value"))
 
 
 _HEADING = r"(?is)<(h1|h2)\b[^>]*>.*?</\1>"

@@ -152,12 +152,12 @@ def group_top_n(
 def group_top_n_ties(
     df: DataFrame, group: str, metric: str, n: int = 3, *, dense: bool = False
 ) -> DataFrame:
-    """Top N with RANK (or DENSE_RANK): equal values share a rank, so ties are all kept.
+    """Top N with RANK (or DENSE_RANK): equal values share a rank, so ties are all kept; nulls rank last.
 
     Values are counted first; a group's N best distinct values are a handful of rows even when one
     value fills a third of the table. Detail rows then join those cut-offs.
     """
-    counted = df.where(F.col(metric).isNotNull()).groupBy(group, metric).agg(F.count("*").alias("_n"))
+    counted = df.groupBy(group, metric).agg(F.count("*").alias("_n"))
     best_first = Window.partitionBy(group).orderBy(F.desc(metric))
     # the N best distinct values hold every row whose rank is at most N
     top = counted.withColumn("_dense", F.dense_rank().over(best_first)).where(F.col("_dense") <= n)
@@ -165,7 +165,7 @@ def group_top_n_ties(
     rank = F.col("_dense") if dense else (F.coalesce(ahead, F.lit(0)) + 1).cast("int")
     ranked = top.withColumn("rn", rank).where(F.col("rn") <= n)
     cuts = ranked.select(F.col(group).alias("_g"), F.col(metric).alias("_m"), "rn")
-    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col(metric) == F.col("_m"))
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col(metric).eqNullSafe(F.col("_m"))
     return df.join(cuts, same).drop("_g", "_m")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ ORDERS_PRESET, USERS_PRESET = PRESETS
 def _type_of(action: dict) -> str:
     name = str(action.get("type") or "").strip()
     if name not in ACTIONS:
-        raise ValueError(f"不支持的动作类型「{name}」")
+        raise ValueError(f"no action is called {name!r}")
     return name
 
 
@@ -82,10 +84,10 @@ def apply_preset(name: str, types: dict[str, str], presets: dict[str, list] | No
     """The actions of a preset, ready to run on a table with these column types."""
     known = PRESETS if presets is None else presets
     if name not in known:
-        raise ValueError(f"预设不存在（{name}）")
+        raise ValueError(f"no preset is called {name!r}")
     actions = known[name]
     if not isinstance(actions, list) or not actions:
-        raise ValueError("预设动作配置为空或已损坏")
+        raise ValueError("the preset holds no usable list of actions")
     return expand_all_text(actions, types)
 
 
@@ -145,6 +147,16 @@ def sample_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def _refusal(error: Exception) -> str | None:
+    """Why an action or its data refused to run; None for failures of the cluster, which are no one's report."""
+    text, mark = str(error).strip(), "[USER_RAISED_EXCEPTION]"
+    if isinstance(error, Py4JJavaError):  # what a scalar subquery raises comes unconverted
+        if mark not in text:
+            return None
+        text = text[text.index(mark) :]
+    return text.removeprefix(mark).strip().splitlines()[0]
+
+
 def preview(df: DataFrame, actions: Sequence[dict]) -> DataFrame:
     """Try the chain on the first 1,000 rows: one report row per action.
 
@@ -168,10 +180,13 @@ def preview(df: DataFrame, actions: Sequence[dict]) -> DataFrame:
                 "samples": [{k: str(v) for k, v in p.items()} for p in pairs],
             }
             current = after
-        except Exception as error:  # whatever an action raises is its report
+        except (ValueError, AnalysisException, SparkRuntimeException, Py4JJavaError) as error:
+            reason = _refusal(error)
+            if reason is None:
+                raise
             report |= {
                 "ok": False,
-                "error": str(error).strip().splitlines()[0],
+                "error": reason,
                 "rows_after": rows,
                 "affected_rows": 0,
                 "samples": [],

@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     # needed to read GBK text tables and to decode GBK documents
     "spark.sql.legacy.javaCharsets": "true",
+    # bytes that no charset accepts are replaced instead of ending the job
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 

@@ -102,7 +102,7 @@ def rollback(spark: SparkSession, base: str, version: str, at: dt.datetime | Non
     """Withdraw a version: record it first, then remove its files. The source is as it was."""
     row = live_versions(ledger(spark, base)).where(F.col("version") == version).first()
     if row is None:
-        raise ValueError(f"清洗记录不存在（{version}）")
+        raise ValueError(f"no run has the version {version}")
     at = at or max(dt.datetime.now(), row.created_at)
     _append(spark, base, row.asDict() | {"kind": "undo", "created_at": at})
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
