@@ -197,7 +197,7 @@ def f14(t: Tables):
 
 def _entities(x: str) -> str:
     named = [("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "''''")]
-    named += [("&#39;", "''''"), ("&amp;", "'&'")]
+    named += [("&#39;", "''''"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")]
     for ref, char in named:
         x = f"replace({x}, '{ref}', {char})"
     return x
