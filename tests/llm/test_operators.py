@@ -341,3 +341,19 @@ def test_vectors(spark):
     links = [got[i].n_links for i in range(n)]
     assert all(x <= y for x, y in zip(links, linked.sum(axis=1), strict=True)) and sum(links) >= 0.9 * linked.sum()
     assert all(got[n + k].n_links == 0 and got[n + k].component_id == n + k for k in range(6)) and len(got) == n + 7
+
+
+def test_isolated_near_vectors_are_all_linked(spark):
+    draw = np.random.default_rng(17)
+    one = draw.normal(size=(450, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = draw.normal(size=one.shape)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = draw.uniform(0.9, 0.999, (450, 1))
+    units = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * other])
+    frame = spark.createDataFrame([(i, 0, u.tolist()) for i, u in enumerate(units)], "vec_id bigint, label int, embedding array<double>")
+    linked = units @ units.T >= 0.93
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in near_vectors(frame).collect()}  # 15 lists, all of them probed
+    assert linked.sum() > 400 and [got[i] for i in range(len(units))] == linked.sum(axis=1).tolist()

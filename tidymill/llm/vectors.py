@@ -17,6 +17,7 @@ from tidymill.llm.graph import components
 SUBSPACES = 8
 WORDS = 64  # code words per subspace
 GROUP_ROWS = 2048  # vectors of a list that one block compares with another
+PAIRS = 1 << 16  # candidates whose cosine is computed at once
 
 
 def _means(points: np.ndarray, count: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -60,12 +61,22 @@ class Quantizer:
         far = (self.centres**2).sum(axis=1)[None, :] - 2 * self.padded(units) @ self.centres.T
         return np.argsort(far, axis=1, kind="stable")[:, :count]
 
-    def codes(self, units: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The code of each residual, and how far its decoded vector lies from it."""
+    def codes(self, units: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each residual, and the smallest estimate of a query whose cosine is at least ``least``.
+
+        What an estimate lacks is the query times the error of the code. Of the error, the part along the vector counts
+        by the cosine and the part across it by the sine at most, so no such query has a lower estimate.
+        """
         residuals = (self.padded(units) - self.centres[own]).reshape(len(units), SUBSPACES, -1)
         codes = np.stack([_nearest(residuals[:, m], self.words[m]) for m in range(SUBSPACES)], axis=1)
         decoded = np.stack([self.words[m][codes[:, m]] for m in range(SUBSPACES)], axis=1)
-        return codes.astype(np.uint8), np.sqrt(((residuals - decoded) ** 2).sum(axis=(1, 2)))
+        errors = (residuals - decoded).reshape(len(units), -1)
+        along, square = (errors * self.padded(units)).sum(axis=1), (errors**2).sum(axis=1)
+        across = np.sqrt(np.maximum(square - along**2, 0))
+        sine = math.sqrt(max(1 - least**2, 0))
+        # it grows with the cosine as long as the error along the vector is below one
+        bound = np.where((along < 1) & (least >= 0), least * (1 - along) - sine * across, least - np.sqrt(square))
+        return codes.astype(np.uint8), bound - 1e-6
 
     def estimates(self, units: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries with coded vectors of one list, looked up in tables of the queries."""
@@ -82,7 +93,7 @@ def _units(raw: list[bytes]) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _placed(quantizers: dict[int, Quantizer], probes: int):
+def _placed(quantizers: dict[int, Quantizer], probes: int, least: float):
     """Each vector once in its own list (with code) and as a query in all lists it probes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +104,7 @@ def _placed(quantizers: dict[int, Quantizer], probes: int):
                 model, raw = quantizers[int(length)], part.column("vector").to_pylist()
                 units = _units(raw)
                 lists = model.probes(units, probes)
-                codes, off = model.codes(units, lists[:, 0])
+                codes, bound = model.codes(units, lists[:, 0], least)
                 count = lists.shape[1]
                 rows = np.repeat(np.arange(len(raw)), count + 1)
                 is_query = np.tile([False] + [True] * count, len(raw))
@@ -101,8 +112,8 @@ def _placed(quantizers: dict[int, Quantizer], probes: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c).take(pa.array(rows)) for c in ("node", "label", "dims", "vector")]
                     + [pa.array(where.astype(np.int32)), pa.array(is_query)]
-                    + [pa.array([codes[r].tobytes() for r in rows], pa.binary()), pa.array(off[rows])],
-                    ["node", "label", "dims", "vector", "list", "is_query", "code", "off"],
+                    + [pa.array([codes[r].tobytes() for r in rows], pa.binary()), pa.array(bound[rows])],
+                    ["node", "label", "dims", "vector", "list", "is_query", "code", "bound"],
                 )
 
     return run
@@ -120,8 +131,7 @@ def _linked(quantizers: dict[int, Quantizer], least: float):
         model = quantizers[group.column("dims")[0].as_py()]
         q, x = _units(queries.column("vector").to_pylist()), _units(base.column("vector").to_pylist())
         codes = np.frombuffer(b"".join(base.column("code").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-        # errors of codes point anywhere: half their length is four deviations of their share along a query
-        bound = least - 0.5 * base.column("off").to_numpy() - 1e-6
+        bound = base.column("bound").to_numpy()
         qn, xn = queries.column("node").to_numpy(), base.column("node").to_numpy()
         found = [np.zeros((0, 2), np.int64)]
         for start in range(0, len(q), 256):
@@ -130,7 +140,8 @@ def _linked(quantizers: dict[int, Quantizer], least: float):
             i += start
             apart = qn[i] != xn[j]
             i, j = i[apart], j[apart]
-            sure = (q[i] * x[j]).sum(axis=1) >= least
+            parts = [slice(k, k + PAIRS) for k in range(0, len(i), PAIRS)]
+            sure = np.concatenate([np.zeros(0, bool), *((q[i[p]] * x[j[p]]).sum(axis=1) >= least for p in parts)])
             i, j = i[sure], j[sure]
             found.append(np.stack([np.minimum(qn[i], xn[j]), np.maximum(qn[i], xn[j])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -156,7 +167,8 @@ def near_vectors(
     Equal vectors of a label are one class, counted before the shuffle and never expanded into pairs. Classes lie
     in coarse lists, about half the square root of their number, with the codes of their residuals. Each class
     probes its ``probes`` nearest lists; candidates by table look-up are confirmed by exact cosine, so
-    no link is false. Lists are cut into blocks of bounded size, and only vectors of one label meet. The
+    no link is false, and the look-up drops no candidate that the cosine would confirm: a link is lost only if neither
+    end probes the list of the other. Lists are cut into blocks of bounded size, and only vectors of one label meet. The
     quantizer is fitted on at most ``sample`` classes (the smallest hashes of their ids), all are indexed.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
@@ -188,13 +200,13 @@ def near_vectors(
     packed = coded.mapInArrow(_packed, "node bigint, label string, dims int, vector binary")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _placed(shared.value, probes)(batches)
+        return _placed(shared.value, probes, least)(batches)
 
     def link(group: pa.Table) -> pa.Table:
         return _linked(shared.value, least)(group)
 
     placed = packed.mapInArrow(
-        place, "node bigint, label string, dims int, vector binary, list int, is_query boolean, code binary, off double"
+        place, "node bigint, label string, dims int, vector binary, list int, is_query boolean, code binary, bound double"
     )
     key = ["label", "dims", "list"]
     placed = pin(placed)
