@@ -357,3 +357,31 @@ def test_isolated_near_vectors_are_all_linked(spark):
     np.fill_diagonal(linked, False)
     got = {r.vec_id: r.n_links for r in near_vectors(frame).collect()}  # 15 lists, all of them probed
     assert linked.sum() > 400 and [got[i] for i in range(len(units))] == linked.sum(axis=1).tolist()
+
+
+def test_occurrences_of_a_word_are_cut_independently(spark):
+    own = merge_pieces()
+    word, count = "internationalization", 300
+    frame = spark.createDataFrame([(i, " ".join([word] * count)) for i in range(4)], "doc_id bigint, text string")
+    cuts = []
+    for row in encode_pieces(frame, merge_pieces, dropout=0.3).collect():
+        ids, inside = np.frombuffer(bytes(row.ids), "<u4").tolist(), []
+        for x in ids:
+            if own.texts[x].startswith(b" "):
+                inside.append([])
+            inside[-1].append(x)
+        assert len(inside) == count
+        cuts.append([tuple(x) for x in inside])
+    assert all(len(set(c)) > 20 for c in cuts) and len({c[0] for c in cuts} | {c[1] for c in cuts}) > 4
+    # occurrences merged together are cut as each would be alone
+    text = "the theatre of internationalization, the ▁ theatre  of the " * 40
+    drawn = np.array([5], np.uint64)
+    shared = pieces.encode_all([text], drawn, own, 1, 0.3)[0].tolist()
+    key = pieces.mixed(drawn + np.uint64(65538))
+    alone = []
+    for unit in re.finditer(" +[^ ]*", " " + text):
+        codes = [own.single[ord("▁" if c == " " else c)] if c != "▁" else -1 - ord(c) for c in unit.group()]
+        ids = pieces.agenda([int(c) for c in codes], int(pieces.mixed(key + np.uint64(unit.start()))[0]), own, 0.3)
+        for x in ids:
+            alone += [x] if x >= 0 else own.bytes_[list(chr(-x - 1).encode())].tolist()
+    assert shared == alone

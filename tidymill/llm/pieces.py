@@ -18,6 +18,8 @@ from tidymill.llm.common import mixed, slices, texts
 MARK = "▁"  # stands for a space in pieces
 LONG_UNIT = 128  # characters from which a unit has an agenda of its own
 SCALE = 1 << 20
+OFTEN = 4  # occurrences in a slice from which a unit's are compared, so that those cut alike are merged once
+DRAWS = 1 << 19  # candidates whose hashes are held at once
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,8 @@ class Pieces:
     bytes_: np.ndarray  # piece of each byte
     keys: np.ndarray  # sorted left * 2^32 + right, of all pairs that join to a piece
     joins: np.ndarray
+    longer: dict[str, int]  # pieces of several characters by their names
+    longest: int
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of two neighbours, -1 where there is none."""
@@ -61,13 +65,57 @@ def load_pieces(path: str) -> Pieces:
         raw[i] = bytes([b])
     ranks = np.array([-model.get_score(i) for i in range(count)], np.float64)
     keys = np.array(sorted(pairs), np.int64)
-    return Pieces(raw, ranks, single, byte_ids, keys, np.array([pairs[k] for k in keys.tolist()], np.int64))
+    longer = {name: i for name, i in ids.items() if len(name) > 1}
+    joins = np.array([pairs[k] for k in keys.tolist()], np.int64)
+    return Pieces(raw, ranks, single, byte_ids, keys, joins, longer, max(map(len, longer), default=0))
+
+
+def _candidate(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return mixed(place.astype(np.uint64) * np.uint64(SCALE) + piece.astype(np.uint64))
+
+
+def _skips(unit_key: np.ndarray, candidate: np.ndarray, dropout: float) -> np.ndarray:
+    return (mixed(unit_key ^ candidate) >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
 
 
 def skipped(unit_key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the keyed hash of a candidate (its unit's key, first character and piece) skips the merge."""
-    drawn = mixed(unit_key ^ mixed(place.astype(np.uint64) * np.uint64(SCALE) + piece.astype(np.uint64)))
-    return (drawn >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
+    return _skips(unit_key, _candidate(place, piece), dropout)
+
+
+def _patterns(units: list[str], same: np.ndarray, keys: np.ndarray, pieces: Pieces, dropout: float) -> np.ndarray:
+    """A hash of the set of candidates that each occurrence skips, of all that its unit (``units[same]``) can have.
+
+    Occurrences that skip the same ones are cut alike, so one of them can be merged for all.
+    """
+    places, found, counts = [], [], []
+    for unit in units:
+        before = len(found)
+        for i in range(len(unit) - 1):
+            for j in range(i + 2, min(i + pieces.longest, len(unit)) + 1):
+                piece = pieces.longer.get(unit[i:j])
+                if piece is not None:
+                    places.append(i)
+                    found.append(piece)
+        counts.append(len(found) - before)
+    candidates, sizes = _candidate(np.array(places, np.int64), np.array(found, np.int64)), np.array(counts, np.int64)
+    begin, sizes = (np.cumsum(sizes) - sizes)[same], sizes[same]
+    ends = np.cumsum(sizes)
+    out, first = np.zeros(len(same), np.uint64), 0
+    while first < len(same):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + DRAWS, side="right")))
+        block = slice(first, last)
+        owners = np.repeat(np.arange(first, last), sizes[block])
+        at = np.arange(len(owners)) + np.repeat(begin[block] - ends[block] + sizes[block] + done, sizes[block])
+        drawn = candidates[at]
+        hit = np.flatnonzero(_skips(keys[owners], drawn, dropout))
+        if len(hit):
+            owners = owners[hit]
+            starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+            out[owners[starts]] = np.add.reduceat(drawn[hit], starts)
+        first = last
+    return out
 
 
 def agenda(symbols: list[int], unit_key: int, pieces: Pieces, dropout: float) -> list[int]:
@@ -141,10 +189,12 @@ def _merge_all(symbols: np.ndarray, units: np.ndarray, places: np.ndarray, keys:
     return owners[order], out[order]
 
 
-def encode_all(strings: list[str], variants: np.ndarray, pieces: Pieces, seed: int, dropout: float) -> list[np.ndarray]:
-    """Ids of each text. A unit is a run of spaces with what follows; equal units of equal variants agree."""
+def encode_all(strings: list[str], drawn: np.ndarray, pieces: Pieces, seed: int, dropout: float) -> list[np.ndarray]:
+    """Ids of each text. A unit is a run of spaces with what follows; each has draws of its own, by the seed, the
+    number ``drawn`` of its text and its place there."""
     lengths = np.array([len(t) + 1 if t else 0 for t in strings], np.int64)
-    codes = np.frombuffer("".join(" " + t for t in strings if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    whole = "".join(" " + t for t in strings if t)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if not len(codes):
         return [np.zeros(0, np.uint32) for _ in strings]
     space = codes == 32
@@ -160,20 +210,31 @@ def encode_all(strings: list[str], variants: np.ndarray, pieces: Pieces, seed: i
     units = np.repeat(np.arange(len(unit_starts)), sizes)
     places = np.arange(len(codes)) - unit_starts[units]
     doc_of_unit = np.searchsorted(starts_at[lengths > 0], unit_starts, side="right") - 1
-    variant = variants[np.flatnonzero(lengths > 0)][doc_of_unit].astype(np.uint64)
     sums = np.add.reduceat(mixed(codes.astype(np.uint64) + mixed(places.astype(np.uint64) + np.uint64(9))), unit_starts)
-    keys = mixed(sums + mixed(variant + np.uint64(seed * 65537 + 1)))
-    # equal units of a variant share a 64-bit key: one of them is merged for all
-    unique, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    alike = mixed(sums)
+    keys = np.zeros(len(unit_starts), np.uint64)
+    if dropout:
+        text_keys = mixed(drawn[np.flatnonzero(lengths > 0)].astype(np.uint64) + np.uint64(seed * 65537 + 1))
+        keys = mixed(text_keys[doc_of_unit] + (unit_starts - starts_at[lengths > 0][doc_of_unit]).astype(np.uint64))
+        _, first, same, often = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
+        often = (often >= OFTEN) & (sizes[first] < LONG_UNIT)
+        spelt = [
+            whole[a : a + n].replace(MARK, "\0").replace(" ", MARK) if b else ""
+            for a, n, b in zip(unit_starts[first].tolist(), sizes[first].tolist(), often.tolist(), strict=True)
+        ]
+        # long and rare units are merged one by one
+        alike = mixed(alike + np.where(often[same], _patterns(spelt, same, keys, pieces, dropout), keys))
+    # units that are spelt alike and skip alike share a 64-bit hash: one of them is merged for all
+    unique, first, same = np.unique(alike, return_index=True, return_inverse=True)
     short = sizes[first] < LONG_UNIT
     number = np.full(len(unit_starts), -1, np.int64)
     number[first] = np.arange(len(first))
     chosen = number[units] >= 0
     small = chosen & short[np.maximum(number[units], 0)]
-    owners, out = _merge_all(symbols[small].copy(), number[units][small], places[small], unique, pieces, dropout)
+    owners, out = _merge_all(symbols[small].copy(), number[units][small], places[small], keys[first], pieces, dropout)
     for n in np.flatnonzero(~short):
         at = unit_starts[first[n]]
-        ids = np.array(agenda(symbols[at : at + sizes[first[n]]].tolist(), int(unique[n]), pieces, dropout), np.int64)
+        ids = np.array(agenda(symbols[at : at + sizes[first[n]]].tolist(), int(keys[first[n]]), pieces, dropout), np.int64)
         owners, out = np.concatenate([owners, np.full(len(ids), n)]), np.concatenate([out, ids])
     order = np.argsort(owners, kind="stable")
     owners, out = owners[order], out[order]
@@ -207,16 +268,14 @@ def encode_pieces(
     load: Callable[[], Pieces],
     dropout: float = 0.1,
     seed: int = 1,
-    variants: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, ids`` (little-endian 32-bit) for every row.
 
-    Merges follow the model's ranks, but each candidate is skipped when a hash of the seed, its unit, its place and
-    its piece falls below ``dropout``; the hash also holds one of ``variants`` drawn from the id, so equal words of
-    different documents can be cut in several ways. The same seed always gives the same ids. Dropout 0 is the plain
-    encoding. Decoding gives back the text whatever was skipped.
+    Merges follow the model's ranks, but each candidate is skipped when a hash of the seed, the id, the place of its
+    unit in the text, its place there and its piece falls below ``dropout``, so each occurrence of a word is drawn by
+    itself. The same seed always gives the same ids. Dropout 0 is the plain encoding. Decoding gives back the text whatever was skipped.
 
     Defined cases: null and empty texts have no ids. Characters without a piece, and the mark for spaces itself, are
     spelt in byte pieces. Rows are encoded alone: repeated rows agree, a null id counts as 0. Units of any length
@@ -227,7 +286,7 @@ def encode_pieces(
         pieces = load()
         for part in slices(batches):
             drawn = mixed(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(seed))
-            found = encode_all(part.column("text").to_pylist(), drawn % np.uint64(variants), pieces, seed, dropout)
+            found = encode_all(part.column("text").to_pylist(), drawn, pieces, seed, dropout)
             raw = [x.astype("<u4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(x) for x in found], pa.int64())]
