@@ -385,3 +385,43 @@ def test_occurrences_of_a_word_are_cut_independently(spark):
         for x in ids:
             alone += [x] if x >= 0 else own.bytes_[list(chr(-x - 1).encode())].tolist()
     assert shared == alone
+
+
+def test_large_cells_are_split(spark, docs, monkeypatch):
+    bound, sorted_, draw = 4096, [], np.random.default_rng(23)
+    original = suffixes._repeats
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", bound)
+    # one licence line, and a different continuation in each document
+    line = prose(30, 51)[:60]
+    tails = ["".join(draw.choice(list("abcdefgh "), 60)) for _ in range(300)]
+    raw = [(line + t).encode() for t in tails + tails[:5]]
+    ids = np.arange(len(raw))
+    text = suffixes.pa.RecordBatch.from_pydict({"doc_id": ids, "text": [r.decode() for r in raw]})
+    cells = suffixes.pa.Table.from_batches(suffixes._own_cells(50)([text])).to_pandas()
+    volume = cells.groupby("cell").taken.sum()
+    large = set(volume[volume > bound].index)
+    assert large
+    hot = [sorted(set(cells.cell[cells.doc_id == i])) for i in ids]
+    kind = suffixes.pa.list_(suffixes.pa.int64())
+    part = text.append_column("hot", suffixes.pa.array(hot, kind))
+    part = part.append_column("large", suffixes.pa.array([[c for c in h if c in large] for h in hot], kind))
+    rows = suffixes.pa.Table.from_batches(suffixes._segments(50)([part])).sort_by([("cell", "ascending"), ("doc_id", "ascending")])
+
+    def watched(*args):
+        sorted_.append((len(args[1]), sum(map(len, args[4]))))
+        return original(*args)
+
+    monkeypatch.setattr(suffixes, "_repeats", watched)
+    found = suffixes.pa.Table.from_batches(suffixes._resolve(50)(rows.combine_chunks().to_batches(max_chunksize=200))).to_pylist()
+    assert max(n for n, _ in sorted_) * suffixes.ROW_BYTES < 2 * bound and max(b for _, b in sorted_) < 2 * bound
+    got = {(r["doc_id"], x) for r in found for x in range(r["first"], r["last"] + 1)}
+    least, want = {}, set()
+    for i, r in enumerate(raw):
+        for x in range(len(r) - 49):
+            if least.setdefault(r[x : x + 50], i) < i:
+                want.add((i, x))
+    assert got == want
+    # the whole query, with cells split
+    monkeypatch.setattr(suffixes, "_repeats", original)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1)
+    test_byte_strings(docs)

@@ -16,7 +16,8 @@ from tidymill.llm.common import seeded, slices, text_bytes, texts
 from tidymill.llm.shingles import lowest, sequences
 
 GRAM = 20  # bytes of the run that stands for a window in the sketch
-SHARD_BYTES = 4 << 20  # of stretches sorted together, but for a larger cell
+SHARD_BYTES = 4 << 20  # of stretches sorted together; a larger cell is split by window
+ROW_BYTES = 40  # of a stretch's row, besides its bytes
 SLICE = 1 << 19  # bytes of text worked on at once
 QUEUE_BYTES = 64 << 20  # of a queue's tuples held in memory
 UNKNOWN = 1 << 40  # common prefix of suffixes not told apart yet
@@ -292,7 +293,7 @@ def _changes(owners: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def _own_cells(size: int):
-    """The cells of each document, once for every document of a slice."""
+    """The cells of each document, once for every document of a slice, with what their stretches take in a shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
@@ -300,13 +301,17 @@ def _own_cells(size: int):
             if not part.num_rows:
                 continue
             _, owners, cells = _cells(*text_bytes(part.column("text")), size)
-            new = _changes(owners, cells)
-            owners, cells = owners[new], cells[new]
+            if not len(cells):
+                continue
+            first = np.flatnonzero(_changes(owners, cells))
+            taken = np.diff(np.append(first, len(cells))) + size - 1 + ROW_BYTES
+            owners, cells = owners[first], cells[first]
             order = np.lexsort((owners, cells))
             owners, cells = owners[order], cells[order]
-            new = _changes(owners, cells)
-            ids = part.column("doc_id").to_numpy()[owners[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(cells[new]), pa.array(ids)], ["cell", "doc_id"])
+            first = np.flatnonzero(_changes(owners, cells))
+            ids = part.column("doc_id").to_numpy()[owners[first]]
+            taken = np.add.reduceat(taken[order], first)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[first]), pa.array(ids), pa.array(taken)], ["cell", "doc_id", "taken"])
 
     return run
 
@@ -315,7 +320,10 @@ SEGMENTS = pa.schema([("cell", pa.int64()), ("doc_id", pa.int64()), ("start", pa
 
 
 def _segments(size: int):
-    """Stretches of bytes whose windows may repeat, cut where their cell changes."""
+    """Stretches of bytes whose windows may repeat, cut where their cell changes.
+
+    In a large cell each window is a stretch by itself, in the cell of the hash of all its bytes.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
@@ -324,14 +332,18 @@ def _segments(size: int):
                 continue
             data, offsets = text_bytes(part.column("text"))
             at, owners, cells = _cells(data, offsets, size)
-            hot = np.zeros(len(at), bool)
+            hot, large = np.zeros(len(at), bool), np.zeros(len(at), bool)
             ends = np.searchsorted(owners, np.arange(part.num_rows + 1))
-            for i, own in enumerate(part.column("hot").to_pylist()):
+            for i, (own, most) in enumerate(zip(part.column("hot").to_pylist(), part.column("large").to_pylist(), strict=True)):
                 hot[ends[i] : ends[i + 1]] = np.isin(cells[ends[i] : ends[i + 1]], np.array(own, np.int64))
-            at, owners, cells = at[hot], owners[hot], cells[hot]
+                if most:
+                    large[ends[i] : ends[i + 1]] = np.isin(cells[ends[i] : ends[i + 1]], np.array(most, np.int64))
+            at, owners, cells, large = at[hot], owners[hot], cells[hot], large[hot]
             if not len(at):
                 continue
-            new = _changes(owners, cells)
+            if large.any():
+                cells[large] = sequences(seeded(256, 53)[data], size)[at[large]].view(np.int64)
+            new = _changes(owners, cells) | large
             new[1:] |= at[1:] != at[:-1] + 1
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
@@ -407,11 +419,16 @@ def _repeats(cell: np.ndarray, doc: np.ndarray, start: np.ndarray, code: np.ndar
 
 
 def _resolve(size: int):
-    """Repeats of each shard: whole cells one after the other until their stretches pass a bound."""
+    """Repeats of each shard: whole cells one after the other until their stretches pass a bound.
+
+    Rows come by cell and document, so a stretch comes first from its smallest document; rows of later ones are gone
+    as a whole at once, and only those of the smallest are held.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         segments: dict[bytes, int] = {}
+        owner = np.zeros(0, np.int64)  # smallest document of each segment
         last, amount = None, 0
 
         def flush() -> pa.RecordBatch:
@@ -429,7 +446,7 @@ def _resolve(size: int):
                 first = np.ones(len(local), bool)
                 first[1:] = local[1:] > np.maximum.accumulate(local)[:-1]  # places of a dictionary follow the rows
                 sizes = pc.binary_length(batch.column("segment")).to_numpy()
-                grown = amount + np.cumsum(np.where(first & (codes[local] >= known), sizes, 0) + 40)
+                grown = amount + np.cumsum(np.where(first & (codes[local] >= known), sizes, 0) + ROW_BYTES)
                 turn = np.ones(len(cell), bool)
                 turn[1:] = cell[1:] != cell[:-1]
                 turn[0] = last is not None and cell[0] != last
@@ -438,13 +455,22 @@ def _resolve(size: int):
                 end = int(full[0]) if len(full) else len(cell)
                 if end:
                     ids, starts = (batch.column(c).to_numpy()[:end] for c in ("doc_id", "start"))
-                    held.append(np.stack([cell[:end], ids, starts, codes[local[:end]]]))
+                    own = codes[local[:end]]
+                    owner = np.append(owner, np.full(max(len(segments) - len(owner), 0), np.iinfo(np.int64).max))
+                    np.minimum.at(owner, own, ids)
+                    stays = ids == owner[own]
+                    gone = ~stays
+                    if gone.any():
+                        spans = [ids[gone], starts[gone], starts[gone] + sizes[:end][gone] - size]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], ["doc_id", "first", "last"])
+                    held.append(np.stack([cell[:end][stays], ids[stays], starts[stays], own[stays]]))
                     last, amount = int(cell[end - 1]), int(grown[end - 1])
                 if len(full):
                     taken = int(local[:end].max(initial=-1)) + 1
                     for extra in list(segments)[max(known, int(codes[:taken].max(initial=-1)) + 1) :]:
                         del segments[extra]
                     yield flush()
+                    owner = owner[:0]
                     last, amount = None, 0
                 batch = batch.slice(end)
         if held:
@@ -482,7 +508,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     A text equal to that of a smaller document (by digest) goes as a whole and takes no further part. Of the others,
     cells tell which windows may repeat (a window is in the cell of its least twenty-byte run, so none is lost).
-    Only stretches of such windows are sent on, by cell, and form shards of bounded size; a shard keeps one copy of
+    Only stretches of such windows are sent on, by cell, and form shards of bounded size. A cell above that size is
+    split into its windows, by the hash of all their bytes, and equal ones meet without a sort. A shard keeps one copy of
     equal stretches and sorts the suffixes of those that share a cell with others by recursive induction. The tuples in its queues, which spill to disk beyond a
     bound, carry the prefix a suffix shares with the one before, so the groups of windows follow from the order at once.
 
@@ -501,12 +528,15 @@ def repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     copied = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False))
     base = rows.join(copies, "doc_id", "left").withColumn("copied", copied)
     first = base.filter("NOT copied").select("doc_id", "text")
-    own = first.mapInArrow(_own_cells(size), "cell bigint, doc_id bigint")
+    own = first.mapInArrow(_own_cells(size), "cell bigint, doc_id bigint, taken bigint")
     everywhere = Window.partitionBy("cell")
-    shared = own.select("cell", "doc_id", F.min("doc_id").over(everywhere).alias("least"), F.max("doc_id").over(everywhere).alias("most"))
-    hot_cells = shared.filter("least < most").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"))
+    shared = own.select(
+        "cell", "doc_id", *(f("doc_id").over(everywhere).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))), F.sum("taken").over(everywhere).alias("taken")
+    )
+    large = F.when(F.col("taken") > SHARD_BYTES, F.col("cell"))
+    hot_cells = shared.filter("least < most").groupBy("doc_id").agg(F.collect_set("cell").alias("hot"), F.collect_set(large).alias("large"))
     found = first.join(hot_cells, "doc_id", "left").mapInArrow(_segments(size), "cell bigint, doc_id bigint, start bigint, segment binary")
-    settled = found.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
+    settled = found.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_resolve(size), "doc_id bigint, first bigint, last bigint")
     whole = later.select("doc_id", F.lit(0).cast("bigint").alias("first"), (F.col("n") - size).cast("bigint").alias("last"))
     settled = settled.union(whole)
     spans = settled.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
