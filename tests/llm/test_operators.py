@@ -20,7 +20,7 @@ from tidymill.llm.lines import shared_lines
 from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import packed_pieces, padded_length
 from tidymill.llm.pieces import decode_pieces, encode_pieces
-from tidymill.llm.quality import accepted, score_quality, train_quality
+from tidymill.llm.quality import SIZES, accepted, features, score_quality, train_quality
 from tidymill.llm.queries import merge_pieces, vocabulary
 from tidymill.llm.secret_scan import find_secrets, redact_secrets, train_markov
 from tidymill.llm import suffixes
@@ -425,3 +425,18 @@ def test_large_cells_are_split(spark, docs, monkeypatch):
     monkeypatch.setattr(suffixes, "_repeats", original)
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 1)
     test_byte_strings(docs)
+
+
+def test_grams_are_of_characters():
+    # no word is repeated, so equal buckets come from equal grams
+    texts = ["日本語 🙂 é", "", "é", "本語日本語", "plain ascii"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts = np.cumsum([0] + [len(r) for r in raw])
+    first = np.zeros(len(data), bool)
+    first[[s for s, r in zip(starts, raw) if r]] = True
+    found = list(features(data, first))[: len(SIZES)]
+    for size, (at, buckets) in zip(SIZES, found, strict=True):
+        want = [(starts[d] + len(t[:k].encode()), t[k : k + size]) for d, t in enumerate(texts) for k in range(len(t) - size + 1)]
+        assert at.tolist() == [x for x, _ in want]
+        assert len(set(buckets.tolist())) == len({g for _, g in want}) == len(set(zip(buckets.tolist(), (g for _, g in want), strict=True)))

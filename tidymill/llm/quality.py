@@ -19,26 +19,37 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE = seeded(256, 7)
 
 
+def _characters(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first bytes of all characters, and a hash of each."""
+    lead = ((data & 0xC0) != 0x80) | first
+    at = np.flatnonzero(lead)
+    if len(at) == len(data):
+        return at, BYTE[data]
+    inside = np.arange(len(data)) - at[np.cumsum(lead) - 1]
+    whole = np.add.reduceat(data.astype(np.uint64) << (8 * inside).astype(np.uint64), at)
+    return at, np.where(whole < 128, BYTE[data[at]], mixed(whole))
+
+
 def features(data: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of all words and byte n-grams, as (places of their first bytes, buckets) per kind.
+    """Buckets of all words and character n-grams, as (places of their first bytes, buckets) per kind.
 
     ``first`` marks the first byte of each document; nothing crosses into the next one.
     """
-    codes = BYTE[data]
-    boundary = np.cumsum(first)
+    places, codes = _characters(data, first)
+    boundary = np.cumsum(first)[places]
     grams = codes
     for size in range(2, max(SIZES) + 1):
         grams = mixed(grams[:-1] + (codes[size - 1 :] << np.uint64(1)) + np.uint64(size))
         if size in SIZES:
             at = np.flatnonzero(boundary[: len(grams)] == boundary[size - 1 :])
-            yield at, (grams[at] & np.uint64(BUCKETS - 1)).astype(np.int64)
+            yield places[at], (grams[at] & np.uint64(BUCKETS - 1)).astype(np.int64)
     word = ~SPACE[data]
     starts = np.flatnonzero(word & (np.concatenate([[True], ~word[:-1]]) | first))
     if len(starts):
         ends = np.flatnonzero(word & np.concatenate([~word[1:] | first[1:], [True]])) + 1
         size = ends - starts
         inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        letters = codes[np.flatnonzero(word)]
+        letters = BYTE[data[word]]
         placed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(letters + inside.astype(np.uint64)))])
         last = np.cumsum(size)
         yield starts, (mixed(placed[last] - placed[last - size]) & np.uint64(BUCKETS - 1)).astype(np.int64)
