@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidymill.llm.codes import vector_codes
 from tidymill.llm.common import read
 from tidymill.llm.exact import exact_duplicates
 from tidymill.llm.lines import shared_lines
+from tidymill.llm.mixing import mix_sources
 from tidymill.llm.near import near_duplicates
 from tidymill.llm.packing import byte_bpe, packed_pieces
 from tidymill.llm.pieces import Pieces, decode_pieces, encode_pieces, load_pieces
 from tidymill.llm.quality import Model, score_quality, train_quality
 from tidymill.llm.suffixes import repeated_bytes
+from tidymill.llm.tries import conversation_trie, rebuilt_turns
 from tidymill.llm.vectors import near_vectors
 from tidymill.llm.windows import repeated_windows
 from tidymill.llm.secret_scan import find_secrets, train_markov
@@ -144,3 +147,76 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(*rebuilt_turns(read(spark, sf_dir, "conversations")))
+
+
+# CRC-32 by its bitwise rule over the bytes of a decimal number
+CRC = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+ORACLES["op11_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[^w]', '', 'g')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS founder, {CRC} % 4 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS part, t.place, digest, words FROM c JOIN t ON t.conv_id = c.founder AND t.place < c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, digest, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.place >= c.h),
+s AS (SELECT conv_id, words, string_agg(digest, '') OVER w AS path, row_number() OVER w AS depth FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, path, depth, words FROM s UNION ALL SELECT conv_id, '', 0, 0 FROM c),
+e AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY conv_id),
+n AS (SELECT path, any_value(depth) AS depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS cost,
+    sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (WHERE depth = last), '')) AS ends_sha256
+  FROM m JOIN e ON m.conv_id = e.conv_id GROUP BY path),
+k AS (SELECT left(path, 32 * (depth - 1)) AS above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.path = k.above),
+x AS (SELECT left(path, 32 * up) AS top, sum(cost) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM a) GROUP BY ALL)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, x.n_leaves,
+  x.saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM a JOIN x ON a.path = x.top LEFT JOIN n p ON a.depth > 0 AND p.path = left(a.path, 32 * (a.depth - 1))
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def _nearest(book: str) -> str:
+    return f"""(SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+      SELECT vec_id, v.part, entry, sum((x - y) * (x - y)) AS d FROM v JOIN {book} b ON v.part = b.part AND v.place = b.place
+      GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _moved(book: str) -> str:
+    return f"""SELECT b.part, b.entry, b.place, coalesce(floor(u.total / u.n)::BIGINT, b.y) AS y FROM {book} b LEFT JOIN (
+      SELECT v.part, entry, place, sum(x) AS total, count(*) AS n FROM v JOIN {_nearest(book)} f
+      ON v.vec_id = f.vec_id AND v.part = f.part GROUP BY ALL) u
+      ON b.part = u.part AND b.entry = u.entry AND b.place = u.place"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH k AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+f AS MATERIALIZED (SELECT vec_id, len(embedding) // 16 AS width, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) - 1 AS i FROM k),
+v AS MATERIALIZED (SELECT vec_id, i // width AS part, i % width AS place, floor(256 * c)::BIGINT AS x FROM f),
+b0 AS MATERIALIZED (SELECT part, entry, place, x AS y FROM v JOIN (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 64) s ON v.vec_id = s.vec_id),
+b1 AS MATERIALIZED ({_moved("b0")}),
+b2 AS MATERIALIZED ({_moved("b1")}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM {_nearest("b2")} GROUP BY vec_id)
+SELECT r.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, place)) FROM b2) AS codebooks_sha256
+FROM r JOIN k ON r.vec_id = k.vec_id
+"""
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"))
