@@ -17,13 +17,13 @@ LARGEST = 1 << 24  # integers beyond it count as it, so that all sums stay in 64
 SALTS = 16
 
 
-def _blocks(dim: int, scale: int) -> Callable:
+def _blocks(dim: int, scale: int, block_rows: int) -> Callable:
     """Vectors as blocks: per dimension the distinct integers of the block, and each row's place among them."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
                 rows = part.num_rows
                 values = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(rows, dim)
                 ints = np.clip(np.floor(values * scale), -LARGEST, LARGEST).astype(np.int64)
@@ -120,6 +120,7 @@ def vector_codes(
     entries: int = 64,
     rounds: int = 2,
     scale: int = 256,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Each vector as ``parts`` codebook indices; ``vec_id, code, error, label_error, codebooks_sha256``.
 
@@ -139,6 +140,8 @@ def vector_codes(
     """
     if not 0 < entries <= 256:
         raise ValueError("a code has two hex digits per part, hence 1 to 256 entries")
+    if not 0 < block_rows <= 1 << 16:
+        raise ValueError("places in a dictionary take 16 bits, hence 1 to 65536 rows a block")
     spark = vectors.sparkSession
     kept = vectors.select(
         vectors[id_col].cast("bigint").alias("vec_id"),
@@ -159,7 +162,7 @@ def vector_codes(
     label = kept.schema["label"].dataType.simpleString()
     blocks = pin(
         kept.filter(F.size("vector") == dim).mapInArrow(
-            _blocks(dim, scale), f"vec_id array<bigint>, label array<{label}>, sizes array<int>, dictionary binary, codes binary"
+            _blocks(dim, scale, block_rows), f"vec_id array<bigint>, label array<{label}>, sizes array<int>, dictionary binary, codes binary"
         )
     )
     for _ in range(rounds if seeds else 0):

@@ -45,34 +45,49 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFra
     return now.select("key", "source_size", target.alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, budget_of_table: int = BUDGET) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = BUDGET) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to ``budget`` or as near as can be.
 
     ``lengths`` are different and positive; ``counts`` say how many documents there are. Every length first gives
-    the same share of its documents, rounded down. The largest lengths that still fit then lower what is
-    left to ``budget_of_table``. The rest is a bounded knapsack: bundles of 1, 2, 4, ... documents of a length are
-    added one by one, the sums that can be reached are the bits of one integer, and each sum remembers the
-    bundle that first reached it.
+    the same share of its documents, rounded down, so the mix keeps the lengths of its source; the rest is a
+    bounded knapsack over the documents left. Where that misses the budget, less is given beforehand, at last
+    nothing. A budget of at most ``table`` words is thus met as nearly as any choice of documents can.
     """
-    order = np.argsort(lengths)[::-1]
-    size = [int(x) for x in lengths[order]]
-    have = [int(x) for x in counts[order]]
-    all_words = sum(s * h for s, h in zip(size, have))
-    if budget <= 0 or not all_words:
+    size, have = [int(x) for x in lengths], [int(x) for x in counts]
+    words = sum(s * h for s, h in zip(size, have))
+    if budget <= 0 or not words:
         return np.zeros(len(lengths), np.int64)
-    if budget >= all_words:
+    if budget >= words:
         return counts.astype(np.int64)
-    take = [h * budget // all_words for h in have]
+    best, off = None, None
+    for portion in (1.0, 0.5, 0.0):
+        take = [int(h * budget // words * portion) for h in have]
+        missed = _fill(size, have, take, budget, table)
+        if off is None or missed < off:
+            best, off = take, missed
+        if not off:
+            break
+    return np.array(best, np.int64)
+
+
+def _fill(size: list[int], have: list[int], take: list[int], budget: int, table: int) -> int:
+    """Raise ``take`` towards ``budget``; returns how far off it stays.
+
+    The largest lengths that fit lower what is left to ``table``. Then bundles of 1, 2, 4, ... documents of a
+    length are added one by one: the sums that can be reached are the bits of one integer, and each sum remembers
+    the bundle that first reached it.
+    """
+    order = sorted(range(len(size)), key=size.__getitem__)
     left = budget - sum(s * t for s, t in zip(size, take))
-    for i, s in enumerate(size):
-        if left > budget_of_table:
-            more = min(have[i] - take[i], -(-(left - budget_of_table) // s), left // s)
+    for i in reversed(order):
+        if left > table:
+            more = min(have[i] - take[i], -(-(left - table) // size[i]), left // size[i])
             take[i] += more
-            left -= more * s
-    width = left + min((s for i, s in enumerate(size) if have[i] > take[i]), default=0)
+            left -= more * size[i]
+    width = 2 * left  # more than that is further off than nothing
     mask = (1 << (width + 1)) - 1
     reached, via, bundles = 1, np.full(width + 1, -1, np.int64), []
-    for i in range(len(size) - 1, -1, -1):
+    for i in order:
         spare, bundle = min(have[i] - take[i], width // size[i]), 1
         while spare > 0 and not reached >> left & 1:
             n = min(bundle, spare)
@@ -85,13 +100,12 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, budget_of_t
             spare, bundle = spare - n, bundle * 2
     sums = np.append(0, np.flatnonzero(via >= 0))
     at = int(sums[np.argmin(np.abs(sums - left))])
+    missed = abs(left - at)
     while at:
         i, n = bundles[via[at]]
         take[i] += n
         at -= n * size[i]
-    out = np.zeros(len(lengths), np.int64)
-    out[order] = take
-    return out
+    return missed
 
 
 FITTED = "key string, size bigint, source_size bigint, target double, whole bigint, extra bigint"

@@ -18,7 +18,6 @@ DIGEST = 16  # bytes of a turn in a path
 HEAD = 4 + DIGEST  # bytes before them: number of the segment, digest of all turns before it
 SHARD_TURNS = 200_000
 OVERSAMPLE = 16  # sampled paths for each shard
-_LOCAL = (1 << 33) - 1  # position inside a partition, as monotonically_increasing_id counts it
 
 NODES = (
     "slot bigint, parent_slot bigint, root binary, words bigint, segment bigint, depth bigint, conv_id bigint, parent_conv_id bigint,"
@@ -94,22 +93,22 @@ def _bytes(value: Column, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(value), 2 * size, "0"))
 
 
-def _segments(turns: DataFrame, convs: DataFrame) -> DataFrame:
-    """Conversations as paths of at most ``SEGMENT`` turns: ``conv_id, segment, root, key, below, words, ended``.
+def _segments(turns: DataFrame, convs: DataFrame, size: int) -> DataFrame:
+    """Conversations as paths of at most ``size`` turns: ``conv_id, segment, root, key, below, words, ended``.
 
     ``root`` stands for all turns before the segment and ``below`` for all up to its end. Both are running
     exclusive ors of 128 bits of hash, each bound to its place, so they need no walk along the turns. A
-    conversation whose length is a multiple of ``SEGMENT`` has one more, empty segment.
+    conversation whose length is a multiple of ``size`` has one more, empty segment.
     """
-    segment = F.floor(F.col("place") / SEGMENT).cast("bigint")
+    segment = F.floor(F.col("place") / size).cast("bigint")
     filled = (
         turns.groupBy("conv_id", segment.alias("segment"))
         .agg(F.array_sort(F.collect_list(F.struct("place", "digest", "words"))).alias("turns"))
         .select("conv_id", "segment", F.unhex(F.array_join("turns.digest", "")).alias("path"), F.col("turns.words").alias("words"))
     )
-    hollow = convs.filter(F.col("n_turns") % SEGMENT == 0).select(
+    hollow = convs.filter(F.col("n_turns") % size == 0).select(
         "conv_id",
-        F.floor(F.col("n_turns") / SEGMENT).cast("bigint").alias("segment"),
+        F.floor(F.col("n_turns") / size).cast("bigint").alias("segment"),
         F.lit(b"").alias("path"),
         F.array().cast("array<bigint>").alias("words"),
     )
@@ -177,8 +176,9 @@ def _ends(segments: DataFrame) -> DataFrame:
 class Skeleton:
     """The trie of the splitter paths: a slot for each prefix, in sorted order, so parents come before children."""
 
-    def __init__(self, splitters: list[bytes]):
+    def __init__(self, splitters: list[bytes], segment: int = SEGMENT):
         self.splitters = splitters
+        self.segment = segment
         self.child: dict[tuple[int, bytes], int] = {}
         self.parents: list[int] = []
         self.levels: list[int] = []
@@ -202,15 +202,15 @@ def _unit(key: bytes, level: int) -> bytes:
     return key[HEAD + DIGEST * (level - 1) : HEAD + DIGEST * level] if level else key[:HEAD]
 
 
-def _skeleton(paths: DataFrame) -> Skeleton:
-    """Splitters that cut the sorted paths into shards of about ``SHARD_TURNS`` turns.
+def _skeleton(paths: DataFrame, segment: int, shard_turns: int) -> Skeleton:
+    """Splitters that cut the sorted paths into shards of about ``shard_turns`` turns.
 
-    They come from a sample of ``OVERSAMPLE`` paths for each shard, each at most ``SEGMENT`` turns long, so what is
+    They come from a sample of ``OVERSAMPLE`` paths for each shard, each at most ``segment`` turns long, so what is
     collected and broadcast is bounded by the number of shards. A splitter is the shortest prefix that still tells
     its path from the one sampled before it.
     """
     turns = paths.agg(F.sum(F.length("key") - HEAD + DIGEST)).first()[0] or 0
-    shards = max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), turns // (DIGEST * SHARD_TURNS) + 1)
+    shards = max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), turns // (DIGEST * shard_turns) + 1)
     sample = sorted(bytes(r[0]) for r in paths.select("key").orderBy(F.xxhash64("key"), "key").limit(shards * OVERSAMPLE).collect())
     share, taken, splitters = max(1, sum(map(len, sample)) // shards), 0, []
     for before, path in zip(sample, sample[1:]):
@@ -220,14 +220,14 @@ def _skeleton(paths: DataFrame) -> Skeleton:
             while path[: HEAD + DIGEST * level] <= before:
                 level += 1
             splitters.append(path[: HEAD + DIGEST * level])
-    return Skeleton(splitters)
+    return Skeleton(splitters, segment)
 
 
 class _Shard:
     """The trie of the paths of one shard; paths are added in sorted order."""
 
     def __init__(self, skeleton: Skeleton):
-        self.child = skeleton.child
+        self.child, self.full = skeleton.child, skeleton.segment
         self.parent, self.slot, self.level, self.words, self.segment, self.roots = [], [], [], [], [], []
         self.n, self.conv, self.children, self.leaves, self.saved, self.ends = [], [], [], [], [], []
         self.open, self.last = [], b""
@@ -279,7 +279,7 @@ class _Shard:
 
 def _close(nodes: _Shard, i: int) -> None:
     """Add what a node counts for itself, once all its children are in. A full path goes on below its segment."""
-    if nodes.children[i] == 0 and nodes.level[i] < SEGMENT:
+    if nodes.children[i] == 0 and nodes.level[i] < nodes.full:
         nodes.leaves[i] = 1
     if nodes.level[i]:
         nodes.saved[i] += (nodes.n[i] - 1) * nodes.words[i]
@@ -355,9 +355,9 @@ def _reduced(skeleton) -> Callable:
     return build
 
 
-def _nodes(paths: DataFrame, roots_only: bool = False) -> DataFrame:
+def _nodes(paths: DataFrame, segment: int, shard_turns: int, roots_only: bool = False) -> DataFrame:
     """The nodes of the tries of all roots among distinct ``paths``, in columns ``NODES``; depth counts from the root."""
-    skeleton = _skeleton(paths)
+    skeleton = _skeleton(paths, segment, shard_turns)
     shared = paths.sparkSession.sparkContext.broadcast(skeleton)
 
     def to_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,13 +386,12 @@ def _nodes(paths: DataFrame, roots_only: bool = False) -> DataFrame:
     return local.select(*frame.columns).unionByName(frame)
 
 
-def _below(paths: DataFrame, segments: DataFrame) -> DataFrame:
+def _below(roots: DataFrame, segments: DataFrame) -> DataFrame:
     """``below, n_children, n_leaves, saved_tokens`` of everything under the end of each full path.
 
     Each trie below the first one has its own totals. Its smallest member is charged with them; a sum along each
     conversation from its end, and one over the members of a root, then count every trie below once.
     """
-    roots = pin(_nodes(paths.filter("segment > 0"), roots_only=True).filter("depth = 0"))
     charges = roots.select("root", "conv_id", F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"))
     to_end = Window.partitionBy("conv_id").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, 0)
     along = (
@@ -405,7 +404,7 @@ def _below(paths: DataFrame, segments: DataFrame) -> DataFrame:
     return roots.select("root", "n_children").join(totals, "root").withColumnRenamed("root", "below")
 
 
-def conversation_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
+def conversation_trie(turns: DataFrame, convs: DataFrame, segment: int = SEGMENT, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """The trie of conversations: one row for each distinct sequence of first turns.
 
     ``turns`` has ``conv_id, place, digest, words`` (places from 0 without gaps, a turn's digest as 32 hex digits),
@@ -415,24 +414,25 @@ def conversation_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     Conversations are counted by path first, so a group of copies is one row. Splitters cut the sorted paths into
     shards. Only prefixes of splitters have members in more than one shard, so each shard finishes all its other
     nodes, and the partial aggregates of the skeleton are reduced and summed along it. Long conversations are cut
-    into segments with tries of their own, so no row or task holds a whole one.
+    into segments of ``segment`` turns with tries of their own, so no row or task holds a whole one.
 
     Defined cases: an empty table has no nodes; conversations without turns are members of the root alone; equal
     conversations share all their nodes.
     """
-    segments = pin(_segments(turns, convs))
+    segments = pin(_segments(turns, convs, segment))
     counted = segments.groupBy("key").agg(
         F.first("segment").alias("segment"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"),
         F.min("conv_id").alias("conv_id"), F.first("below").alias("below"),
     )
-    full = F.when(F.length("key") == HEAD + SEGMENT * DIGEST, F.col("below"))
+    full = F.when(F.length("key") == HEAD + segment * DIGEST, F.col("below"))
     paths = pin(counted.join(_ends(segments), "key", "left").withColumn("below", full))
     none = [F.lit(None).cast("bigint").alias(c) for c in ("n_children", "n_leaves", "saved_tokens")]
-    below = _below(paths.select("*", *none), segments)
-    nodes = _nodes(paths.join(below, "below", "left").drop("below")).filter("depth > 0 OR segment = 0")
+    roots = pin(_nodes(paths.filter("segment > 0").select("*", *none), segment, shard_turns, roots_only=True).filter("depth = 0"))
+    inner = paths.join(_below(roots, segments), "below", "left").drop("below")
+    nodes = _nodes(inner, segment, shard_turns).filter("depth > 0 OR segment = 0")
     return nodes.select(
         "conv_id",
-        (F.col("segment") * SEGMENT + F.col("depth")).alias("depth"),
+        (F.col("segment") * segment + F.col("depth")).alias("depth"),
         "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"),
     )
