@@ -48,6 +48,53 @@ def test_quoted_line_breaks_and_gbk(spark, tmp_path, rows):
         read_text_table(spark, path, encoding="big5")
 
 
+def test_files_are_matched_by_header_name(spark, tmp_path, rows):
+    write(tmp_path / "a.csv", "id,name\n1,x\n2\n")
+    write(tmp_path / "b.csv", "\n\nName,id,note\ny,3,first\nz,4,\n", "utf-8-sig")
+    write(tmp_path / "c.csv", "note\n")
+    write(tmp_path / "d.csv", 'id,"no, te","id",,note\n5,a,b,c,"say ""d"""\n')
+    df = read_text_table(spark, str(tmp_path))
+    assert df.columns == ["row_no", "id", "name", "note", "no, te", "id_2", "_c3"]
+    assert rows(df) == [
+        (1, "1", "x", "", "", "", ""), (2, "2", "", "", "", "", ""), (3, "3", "y", "first", "", "", ""),
+        (4, "4", "z", "", "", "", ""), (5, "5", "", 'say "d"', "a", "b", "c"),
+    ]
+    assert rows(read_text_table(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")]), "id") == ["1", "2", "3", "4"]
+    assert read_text_table(spark, str(tmp_path), numbered=False).columns == df.columns[1:]
+    assert df.select("note").where("note <> ''").count() == 2
+
+
+def test_surplus_cells_stop_the_read_or_are_kept(spark, tmp_path, rows):
+    write(tmp_path / "a.csv", 'a,b\n1,2\n3,4,5\n6\n7,8,,\n9,"x, y","p ""q""",,r\n')
+    write(tmp_path / "b.csv", "b,a,c\n1,2,3\n4,5,6,7\n")
+    write(tmp_path / "c.csv", 'b\n8,9,10\n11,""\n12\n')
+    df = read_text_table(spark, str(tmp_path), surplus="more")
+    assert rows(df) == [
+        (1, "1", "2", "", ""), (2, "3", "4", "", '["5"]'), (3, "6", "", "", ""), (4, "7", "8", "", ""),
+        (5, "9", "x, y", "", '["p \\"q\\"","","r"]'), (6, "2", "1", "3", ""), (7, "5", "4", "6", '["7"]'),
+        (8, "", "8", "", '["9","10"]'), (9, "", "11", "", ""), (10, "", "12", "", ""),
+    ]
+    with pytest.raises(Exception, match="more cells than the header names in row"):
+        read_text_table(spark, str(tmp_path)).collect()
+
+
+def test_a_table_is_numbered_without_a_copy(spark, tmp_path, rows):
+    for i, columns in enumerate(("id,v", "v,id")):
+        lines = "".join(f"{n},{'v' * (n % 50)}\n" if i == 0 else f"w,{n}\n" for n in range(i * 2000, i * 2000 + 2000))
+        write(tmp_path / f"{i}.csv", f"{columns}\n{lines}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = read_text_table(spark, str(tmp_path))
+        assert rows(df, "row_no", "id") == [(n + 1, str(n)) for n in range(4000)]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan csv" in plan and "Window" not in plan and plan.count("FileScan parquet [_path") == plan.count("FileScan parquet")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # other splits than those counted are noticed
+    with pytest.raises(Exception, match="splits changed while reading"):
+        df.select("id").collect()
+
+
 def test_detect_encodings(spark, tmp_path):
     write(tmp_path / "u.csv", "城市\n" * 20000)  # longer than the probe, cut inside a character
     write(tmp_path / "s.csv", "城市\n", "utf-8-sig")

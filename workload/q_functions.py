@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,9 +14,10 @@ from tidymill.functions import text as T
 from tidymill.functions.tokens import canon_token
 from tidymill.operators import fields as C
 from tidymill.operators.provenance import tokens
+from tidymill.session import checkpoint_dir
 from tidymill.sources.guard import guarded_select
 from tidymill.sources.numbering import renumber
-from tidymill.sources.text_tables import head_rows
+from tidymill.sources.text_tables import head_rows, read_text_table
 from workload import fixtures as X
 from workload.fixtures import Tables, duck
 from workload.registry import query
@@ -276,6 +278,45 @@ def s1_rows(t: Tables):
     return renumber(t.dirty_orders, block_rows=1024).select("row_no", "order_id")
 
 
+def _document_files(t: Tables) -> str:
+    """Documents as CSV files of three kinds, with other columns in another order, below the shared folder."""
+    folder = f"{checkpoint_dir(t.spark)}/documents-{uuid.uuid4().hex}"
+    for kind, columns in enumerate((["doc_id", "text", "lang"], ["lang", "source", "doc_id", "text"], ["text", "doc_id", "source"])):
+        part = t.documents.where(F.col("doc_id") % 3 == kind).select(*columns)
+        part.write.mode("append").options(
+            header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(folder)
+    return folder
+
+
+@query(
+    "s1_text_table",
+    """SELECT doc_id::VARCHAR AS doc_id, coalesce(replace(text, chr(13), chr(10)), '') AS text,
+        CASE WHEN doc_id % 3 = 2 THEN '' ELSE coalesce(lang, '') END AS lang,
+        CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(source, '') END AS source
+    FROM documents""",
+)
+def s1_table(t: Tables):
+    out = read_text_table(t.spark, _document_files(t), multi_line=True, numbered=False)
+    return out.select("doc_id", "text", "lang", "source")
+
+
+@query(
+    "s1_text_table_numbers",
+    """SELECT count(*) AS n, count(*) AS numbers, 1::BIGINT AS first_no, count(*) AS last_no, sum(doc_id)::BIGINT AS ids
+    FROM documents""",
+)
+def s1_numbers(t: Tables):
+    out = read_text_table(t.spark, _document_files(t), multi_line=True)
+    return out.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("row_no").alias("numbers"),
+        F.min("row_no").alias("first_no"),
+        F.max("row_no").alias("last_no"),
+        F.sum(F.col("doc_id").cast("bigint")).alias("ids"),
+    )
+
+
 # --- field catalog -----------------------------------------------------------------------------
 
 
