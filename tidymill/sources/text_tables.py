@@ -132,10 +132,11 @@ def _table(
     keys = ["_path", "_start", "_length"]
     known = records.join(splits.select(*keys, "_first", "_n", "_head", "_before", "_of"), keys, "left")
     place = F.col("_mid") - F.col("_first")
-    stray = F.raise_error(F.concat(F.lit("splits changed while reading "), F.col("_path"))).cast("bigint")
-    placed = known.withColumn("_place", F.when((place >= 0) & (place < F.col("_n")), place).otherwise(stray))
-    rows = placed.where(F.col("_head").isNull() | (F.col("_place") > 0))
-    row_no = F.col("_before") + F.col("_place") + F.col("_head").isNull().cast("bigint")
+    stray = F.raise_error(F.concat(F.lit("splits changed while reading "), F.col("_path"))).cast("boolean")
+    # every row passes this check, whatever columns are asked for
+    is_data = F.when((place >= 0) & (place < F.col("_n")), F.col("_head").isNull() | (place > 0)).otherwise(stray)
+    rows = known.where(is_data)
+    row_no = F.col("_before") + place + F.col("_head").isNull().cast("bigint")
 
     width = by_header(len, F.lit)
     listed = F.array(*(F.coalesce(c, F.lit("")) for c in records.columns if c.startswith("_c")))
