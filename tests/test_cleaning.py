@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidymill.operators import actions as A
 from tidymill.operators import fields as C
-from tidymill.operators.medians import exact_median
+from tidymill.operators.actions import carry
+from tidymill.operators.medians import exact_median, middle_values
 from tidymill.plans import cleaning as P
-from tidymill.sources.numbering import number_in_order, renumber
+from tidymill.sources import numbering
+from tidymill.sources.numbering import Key, number_in_order, renumber
 
 
 def do(kind, **params):
@@ -227,11 +229,70 @@ def test_renumber_closes_gaps_whatever_the_partitions(spark, rows):
 
 def test_number_in_order_is_a_total_order(spark, rows):
     df = spark.range(200).select(F.col("id").alias("row_no"), (F.col("id") % 3).cast("string").alias("v"))
-    out = number_in_order(df.repartition(7), [F.asc("v"), F.desc("row_no")])
+    out = number_in_order(df.repartition(7), [Key(F.col("v")), Key(F.col("row_no"), down=True)])
     assert rows(out, "row_no") == list(range(1, 201))
     assert rows(out, "v") == ["0"] * 67 + ["1"] * 67 + ["2"] * 66
 
 
+def test_positions_do_not_change_from_run_to_run(spark, rows):
+    draw = random.Random(5)
+    # two thirds of the rows have one value; nulls on both ends
+    data = [(i, draw.choice(["hot", "hot", None, f"v{draw.randrange(9)}"]), draw.choice([1.5, 1.5, None, draw.random()])) for i in range(3000)]
+    df = spark.createDataFrame(data, "row_no bigint, t string, n double")
+
+    def placed(keys):
+        out = number_in_order(df.withColumn("id", F.col("row_no")).repartition(9, "n"), keys)
+        again = number_in_order(df.withColumn("id", F.col("row_no")).repartition(3), keys)
+        assert rows(out) == rows(again)
+        assert rows(out, "row_no") == list(range(1, 3001))
+        return rows(out, "id")
+
+    got = placed([Key(F.col("t")), Key(F.col("n"), down=True), Key(F.col("row_no"))])
+    want = sorted(data, key=lambda r: (r[1] is not None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
+    assert got == [r[0] for r in want]
+    got = placed([Key(F.col("n"), nulls_last=True), Key(F.col("t"), down=True, nulls_last=False), Key(F.col("row_no"), down=True)])
+    order = {t: -i for i, t in enumerate(sorted({r[1] for r in data if r[1]}))}
+    want = sorted(data, key=lambda r: (r[2] is None, r[2] or 0, r[1] is not None, order.get(r[1], 0), -r[0]))
+    assert got == [r[0] for r in want]
+    assert number_in_order(df.limit(1), [Key(F.col("t"))]).count() == 1 and number_in_order(df.limit(0), [Key(F.col("t"))]).count() == 0
+
+
+def test_fill_and_numbers_across_groups_of_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(numbering, "GROUP_BLOCKS", 3)
+    draw = random.Random(8)
+    cells = {i: draw.choice(["", "", "", str(i)]) for i in draw.sample(range(400), 150)}
+    df = spark.createDataFrame(list(cells.items()), "row_no bigint, v string").repartition(5)
+    for forward in (True, False):
+        order, last, want = sorted(cells, reverse=not forward), "", {}
+        for i in order:
+            last = cells[i] or last
+            want[i] = last
+        assert rows(carry(df, "v", forward=forward, block_rows=4), "row_no", "v") == sorted(want.items())
+    assert rows(renumber(df, block_rows=4), "row_no") == list(range(1, 151))
+    twice = df.select((F.col("row_no") / 2).cast("bigint").alias("at"), F.col("row_no").alias("then"))
+    assert rows(renumber(twice, "at", then=["then"], block_rows=4), "then") == sorted(cells)
+
+
+def test_large_groups_leave_little_to_order(spark):
+    n = 1_000_000
+    # different values over many sizes, in one group; half of another group is one value
+    value = F.when(F.col("id") % 2 == 0, F.exp(F.col("id") / n * 40 - 20)).otherwise(-F.col("id") / 7)
+    hot = spark.range(n).select(F.lit("hot").alias("g"), value.alias("v"))
+    df = hot.unionByName(spark.range(1000).select(F.lit("half").alias("g"), F.greatest(F.col("id"), F.lit(500)).cast("double").alias("v")))
+    assert middle_values(df, "v", ["g"]).groupBy("g").count().agg(F.max("count")).first()[0] <= 64
+    got = {r.g: r.m for r in exact_median(df, "v", ["g"], name="m").collect()}
+    assert got == {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+
+
+def test_exact_median_of_extreme_values(spark):
+    for values in (
+        [0.0, -0.0, 5e-324, -5e-324], [1e308, 1.7e308, -1e308], [float("inf"), 1.0, float("-inf")], [float("inf"), float("inf")],
+        [float("nan"), 1.0, 2.0], [0.1, 0.1, 0.1 + 1e-17, 0.3], [2.0**k for k in range(-500, 500)],
+    ):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert exact_median(df, "v").first()[0] == df.select(F.median("v")).first()[0], values
+
+
 def test_exact_median_with_hot_groups_ties_and_nulls(spark):
     rng = random.Random(3)
     data = [("hot", rng.gauss(0, 1)) for _ in range(4001)] + [("tied", 5.0)] * 1000

@@ -9,12 +9,14 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import DATA
+from workload.registry import QUERIES
 
 FOLDER = f"{DATA}/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
-# these act while they are built (previews run steps; sorts write their order), and are slow to plan
-EAGER = {"k20_preview", "k15_sort_numeric_desc", "k15_sort_text", "q2_rank_requests"}
+# acts while it is built: a preview runs its steps
+EAGER = {"k20_preview"}
+PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow")
 
 
 def plan_of(spark, name: str) -> str:
@@ -22,13 +24,31 @@ def plan_of(spark, name: str) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_products_and_no_python(spark, name):
     plan = plan_of(spark, name)
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", *PYTHON):
         assert node not in plan, node
 
 
+@pytest.mark.parametrize("name", ["k15_sort_numeric_desc", "k5_fill_ffill", "k6_fill_bfill", "s1_row_numbers", "h8_anomaly_list", "k3_fill_median"])
+def test_numbering_and_filling_write_nothing(spark, name, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("a plan was written while the query was built")
+
+    monkeypatch.setattr("tidymill.session.pin", refused)
+    plan = plan_of(spark, name)
+    assert set(re.findall(r"InMemoryFileIndex[^\n]*?file:([^\], ]*)", plan)) <= {f"{FOLDER}/orders.parquet", f"{FOLDER}/customer.parquet"}
+
+
+@pytest.mark.parametrize("name", ["k5_fill_ffill", "k6_fill_bfill", "s1_row_numbers", "h8_anomaly_list"])
+def test_windows_without_a_partition_see_groups_of_blocks_only(spark, name):
+    plan = plan_of(spark, name)
+    alone = [w for w in re.findall(r"\+- Window \[(.*)", plan) if "windowspecdefinition(_group" in w]
+    every = re.findall(r"windowspecdefinition\(([^,)]*?) (?:ASC|DESC)", plan)
+    assert alone and all(key.startswith("_group") for key in every), every
+
+
 @pytest.mark.parametrize(
     ("name", "columns"),
     [

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +198,57 @@ def test_versions_ledger_and_rollback(spark, tmp_path, table, rows):
         versions.rollback(spark, base, first)
 
 
+def test_two_writers_commit_one_after_the_other(spark, tmp_path, table):
+    base, df = str(tmp_path / "store"), table("a b", [("1", " x"), ("1", " x"), ("", "y"), ("300", "z")])
+    chain = [
+        {"type": "strip_text", "params": {"field": "b"}},
+        {"type": "drop_duplicates", "params": {"columns": None}},
+        {"type": "fill_missing", "params": {"field": "a", "strategy": "drop_row"}},
+    ]
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: versions.write_version(df, chain, base, f"s{i}.csv"), range(4)))
+    log = versions.ledger(spark, base)
+    assert sorted(r.seq for r in log.collect()) == [0, 1, 2, 3]
+    assert sorted(n for n in os.listdir(f"{base}/_log") if n.endswith(".json")) == [f"{i:020d}.json" for i in range(4)]
+    assert {r.version for r in log.collect()} == set(made)
+    stats = log.first().stats
+    assert (stats["rows_before"], stats["rows_after"], stats["rows_dropped_dedup"], stats["strip_count"]) == ("4", "2", "1", "2")
+    fields = {r.field_name: r.inferred_type for r in versions.version_fields(spark, base, made[0]).collect()}
+    assert fields == {"a": "integer", "b": "text"}
+
+    def undo(_):
+        try:
+            versions.rollback(spark, base, made[0])
+            return "done"
+        except ValueError as error:
+            return str(error)
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(undo, range(2))) == ["done", f"no run has the version {made[0]}"]
+    # a frame made before does not see the later commit
+    assert log.count() == 4 and versions.ledger(spark, base).count() == 5
+    states = {r.source: (r.status, r.live_cnt) for r in versions.source_states(versions.ledger(spark, base)).collect()}
+    assert states == {"s0.csv": ("imported", 0), "s1.csv": ("cleaned", 1), "s2.csv": ("cleaned", 1), "s3.csv": ("cleaned", 1)}
+
+
+def test_put_if_absent_never_replaces(spark, tmp_path):
+    target = str(tmp_path / "log" / "one file")
+    assert versions.put_if_absent(spark, target, "first")
+    assert not versions.put_if_absent(spark, target, "second")
+    assert open(target).read() == "first" and os.listdir(tmp_path / "log") == ["one file"]
+
+
+def test_a_run_reads_its_source_once(spark, tmp_path, table):
+    source = str(tmp_path / "in")
+    table("order_date amount channel age", [("2026/1/2", "1,000", "", "5"), ("2026/1/2", "1,000", "", "5")]).write.parquet(source)
+    frame = P.accounted(spark.read.parquet(source), P.PRESETS[P.ORDERS_PRESET])[-1].frame
+    assert frame._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    stats = P.change_stats(spark.read.parquet(source), P.PRESETS[P.ORDERS_PRESET])
+    stats.collect()
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"FileScan[^\n]*", plan))) == 1, plan
+
+
 def test_a_failing_run_leaves_nothing_visible(spark, tmp_path, table):
     base = str(tmp_path / "store")
     df = table("a", [("x",), ("",)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidymill.functions import dates as D
 from tidymill.functions import text as T
 from tidymill.operators.cells import cells, field_position, first_k, samples, small_side
-from tidymill.sources.numbering import ROW_NO, data_columns, number_in_order
+from tidymill.sources.numbering import ROW_NO, data_columns, renumber
 
 # Thresholds.
 MISSING_WARN_RATE = 0.20
@@ -252,7 +252,7 @@ def anomaly_list(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     listed = flagged_cells(df, profile).select(
         F.col(ROW_NO).alias("_at"), "field", F.col("text").alias("value"), _reasons().alias("rules")
     )
-    numbered = number_in_order(listed, [F.col("_at"), F.col("field")])
+    numbered = renumber(listed, "_at", then=["field"])
     return numbered.select(
         F.col("_at").alias(ROW_NO), "field", "value", "rules", F.col(ROW_NO).alias("id"), F.lit(False).alias("confirmed")
     )

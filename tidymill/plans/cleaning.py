@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, SparkRuntimeException
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidymill.functions import text as T
-from tidymill.operators.actions import ACTIONS
-from tidymill.sources.numbering import ROW_NO, data_columns
+from tidymill.operators.actions import ACTIONS, COPIES, GONE, JUST_NOW, live, live_rows
+from tidymill.sources.numbering import HIDDEN, ROW_NO, data_columns
 from tidymill.sources.text_tables import head_rows
 
 PREVIEW_ROWS = 1000
@@ -227,83 +228,106 @@ def _row_measure(action: dict) -> str | None:
     return None
 
 
-def _lets_marks_ride(action: dict) -> bool:
-    """Whether helper columns survive an action unseen: it keeps all rows and names its column."""
-    params = action.get("params") or {}
-    if action["type"] == "fill_missing":
-        return params.get("strategy") != "drop_row"
-    if action["type"] == "handle_anomaly":
-        return params.get("mode") == "mark" and bool(params.get("field"))
-    return not ACTIONS[action["type"]].changes_rows
+@dataclass(frozen=True)
+class Stretch:
+    """A part of a chain that ran as one accounted frame: its first step, and the frame at its end."""
 
+    frame: DataFrame
+    steps: Sequence[int]
 
-def _total(parts: Sequence[Column]) -> Column:
-    out = F.lit(0).cast("bigint")
-    for part in parts:
-        out = out + part
-    return out
 
+def accounted(df: DataFrame, actions: Sequence[dict]) -> list[Stretch]:
+    """Run a chain so that its result says what happened to every row.
 
-def change_stats(df: DataFrame, actions: Sequence[dict]) -> DataFrame:
-    """One row of exact change counts for a chain.
-
-    Between two actions that can change the set of rows, cell counts ride along as 0/1 columns and
-    are summed together with the row count: one aggregate per such stretch. All aggregates are
-    subqueries of one query, so Spark shares their common shuffles. They are plain aggregates
-    rather than accumulators because a recomputed task must not count twice.
+    The frame holds the rows that are left and those that went (``GONE`` is the step that dropped them), with counts of
+    changed cells and of copies as hidden columns. So one scan of the source gives product and statistics.
+    An action registered elsewhere does not know such rows: it gets the rows that are left and a new stretch begins.
     """
     check_actions(data_columns(df), actions)
-    rows: list[Column] = []
-    filled: dict[str, list[Column]] = {"missing_filled": [], "strip_count": []}
-    dropped: dict[str, list[Column]] = {
-        f"rows_dropped_{cause}": [] for cause in ("dedup", "anomaly", "filter", "missing")
-    }
-    causes: list[str | None] = []
-    marks: dict[str, str] = {}
-
-    def close(frame: DataFrame) -> DataFrame:
-        """End a stretch: count its rows and its marked cells, then drop the marks."""
-        sums = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in marks]
-        total = frame.select(F.struct(F.count("*").alias("rows"), *sums)).scalar()
-        rows.append(total["rows"])
-        for mark, name in marks.items():
-            filled[name].append(total[mark])
-        frame = frame.drop(*marks)
-        marks.clear()
-        return frame
-
-    current = df
+    stretches: list[Stretch] = []
+    current, steps = df.withColumn(GONE, F.lit(None).cast("int")), []
     for i, action in enumerate(actions):
+        known = ACTIONS[_type_of(action)]
+        if not known.tracked:
+            stretches.append(Stretch(current, steps))
+            rest = run_action(run_result(current), action)
+            current, steps = rest.withColumn(GONE, F.lit(None).cast("int")), []
+            continue
         measure = _cell_measure(action)
         if measure:
-            current = current.withColumn(f"_mark{i}", measure[1])
-            marks[f"_mark{i}"] = measure[0]
-        if not _lets_marks_ride(action):
-            current = close(current)
-            causes.append(_row_measure(action))
+            current = current.withColumn(f"{HIDDEN}cells{i}", F.when(live(current), measure[1]).otherwise(0).cast("bigint"))
         current = run_action(current, action)
-    current = close(current)
+        if known.changes_rows:
+            current = current.withColumn(GONE, F.when(F.col(GONE) == JUST_NOW, F.lit(i)).otherwise(F.col(GONE)))
+            current = current.withColumnRenamed(COPIES, f"{HIDDEN}copies{i}")
+        steps.append(i)
+    return [*stretches, Stretch(current, steps)]
+
+
+def run_result(frame: DataFrame) -> DataFrame:
+    """The rows of an accounted frame that are left, as a plain text table."""
+    return live_rows(frame).drop(*(c for c in frame.columns if c.startswith(HIDDEN)))
+
+
+def change_stats(df: DataFrame, actions: Sequence[dict]) -> DataFrame:
+    """One row of exact change counts for a chain."""
+    return stats_of(accounted(df, actions), len(data_columns(df)), actions)
+
 
-    after_filter = F.lit(None).cast("bigint")
-    for i, cause in enumerate(causes):
-        if cause:
-            dropped[cause].append(rows[i] - rows[i + 1])
-        if cause == "rows_dropped_filter":
-            after_filter = rows[i + 1]
+def stats_of(stretches: Sequence[Stretch], cols_before: int, actions: Sequence[dict]) -> DataFrame:
+    """The change counts of an accounted run: one aggregate for each stretch.
+
+    They are plain aggregates rather than accumulators because a recomputed task must not count twice.
+    """
+    filled: dict[str, list[Column]] = {"missing_filled": [], "strip_count": []}
+    dropped: dict[str, list[Column]] = {f"rows_dropped_{cause}": [] for cause in ("dedup", "anomaly", "filter", "missing")}
+    first = last = after_filter = F.lit(None).cast("bigint")
+    for stretch in stretches:
+        frame = stretch.frame
+
+        def total(name: str) -> Column:
+            return F.coalesce(F.sum(f"{HIDDEN}{name}"), F.lit(0)) if f"{HIDDEN}{name}" in frame.columns else F.lit(0)
+
+        counts = F.struct(
+            F.count("*").alias("rows"),
+            *(total(f"copies{i}").alias(f"copies{i}") for i in stretch.steps),
+            *(total(f"cells{i}").alias(f"cells{i}") for i in stretch.steps),
+            *(F.count_if(F.col(GONE) == i).alias(f"gone{i}") for i in stretch.steps),
+        )
+        found = frame.agg(counts.alias("c")).scalar()
+        rows = _total([found["rows"], *(found[f"copies{i}"] for i in stretch.steps)])
+        first = rows if stretch is stretches[0] else first
+        for i in stretch.steps:
+            lost, cause, measure = found[f"gone{i}"] + found[f"copies{i}"], _row_measure(actions[i]), _cell_measure(actions[i])
+            rows = rows - lost
+            if cause:
+                dropped[cause].append(lost)
+            if cause == "rows_dropped_filter":
+                after_filter = rows
+            if measure:
+                filled[measure[0]].append(found[f"cells{i}"])
+        last = rows
 
     def names(kind: str) -> Column:
         listed = dict.fromkeys(a["params"]["field"] for a in actions if a["type"] == kind)
         return F.array(*[F.lit(n) for n in listed]).cast("array<string>")
 
-    return df.sparkSession.range(1).select(
-        rows[0].alias("rows_before"),
-        rows[-1].alias("rows_after"),
-        (rows[0] - rows[-1]).alias("rows_removed"),
-        F.lit(len(data_columns(df))).cast("bigint").alias("cols_before"),
-        F.lit(len(data_columns(current))).cast("bigint").alias("cols_after"),
+    return stretches[-1].frame.sparkSession.range(1).select(
+        first.alias("rows_before"),
+        last.alias("rows_after"),
+        (first - last).alias("rows_removed"),
+        F.lit(cols_before).cast("bigint").alias("cols_before"),
+        F.lit(len(data_columns(stretches[-1].frame))).cast("bigint").alias("cols_after"),
         F.lit(len(actions)).cast("bigint").alias("actions_count"),
         *[_total(parts).alias(name) for name, parts in (filled | dropped).items()],
         after_filter.alias("rows_after_filter"),
         names("convert_type").alias("fields_converted"),
         names("normalize_date").alias("dates_normalized"),
     )
+
+
+def _total(parts: Sequence[Column]) -> Column:
+    out = F.lit(0).cast("bigint")
+    for part in parts:
+        out = out + part
+    return out

@@ -284,8 +284,8 @@ _action(
 @query(
     "k17_anomaly_drop_listed",
     duck(
-        f"""WITH p AS (SELECT row_number() OVER (ORDER BY row_no) AS row_no, {ORDERS} FROM dirty_orders)
-        SELECT * FROM p WHERE row_no NOT IN (SELECT event_id + 1 FROM events)""",
+        f"""WITH p AS (SELECT row_number() OVER (ORDER BY row_no) AS place, * FROM dirty_orders)
+        SELECT row_no, {ORDERS} FROM p WHERE place NOT IN (SELECT event_id + 1 FROM events)""",
         "dirty_orders",
     ),
 )
