@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidymill.llm.common import pin
-from tidymill.sources.numbering import number_in_order
+from tidymill.sources.numbering import Key, number_in_order
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -22,7 +22,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFra
     What a capped source leaves is shared again by weight. Each round is one aggregate over the sources and caps
     at least one more of them, most of them in the first rounds; sources never come to the driver.
     """
-    ranked = number_in_order(sources, [F.col("source").asc_nulls_last()])
+    ranked = number_in_order(sources, [Key(F.col("source"), nulls_last=True)])
     kinds = F.array(*(F.lit(float(w)) for w in weights))
     now = pin(
         ranked.select(
