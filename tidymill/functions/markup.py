@@ -18,10 +18,12 @@ _ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 _C1 = {n: text for n in range(0x80, 0xA0) if (text := bytes([n]).decode("cp1252", "ignore"))}
 
 
-def replace_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """Replace every match of ``pattern`` by ``change(match)``, built from array expressions."""
+def replace_matches(
+    text: Column, pattern: str, change: Callable[[Column], Column], hits: Column | None = None
+) -> Column:
+    """Replace every match of ``pattern`` by ``change(match)``; ``hits`` are the matches where they are known."""
     parts = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if hits is None else hits
     pairs = F.zip_with(
         parts, hits, lambda part, hit: F.concat(part, F.coalesce(change(hit), F.lit("")))
     )
@@ -82,10 +84,16 @@ def tags_parse(text: Column) -> Column:
     )
 
 
+FENCE = "```"
+
+
 def parse_json_lenient(text: Column) -> Column:
     """VARIANT from model output: as is, else without code fences, else first ``{`` to last ``}``."""
     body = strip(F.coalesce(text, F.lit("")))
-    unfenced = strip(F.regexp_replace(body, r"(?m)^```(?:json)?\s*|\s*```$", ""))
+    lines = F.filter(F.split(F.concat(body, F.lit("\n")), "\n"), lambda line: ~F.startswith(F.ltrim(line), F.lit(FENCE)))
+    text = F.rtrim(F.array_join(lines, "\n"))
+    # a fence may also close the last line
+    unfenced = strip(F.when(F.endswith(text, F.lit(FENCE)), F.substring(text, F.lit(1), F.length(text) - len(FENCE))).otherwise(text))
     braces = F.regexp_extract(body, r"(?s)\{.*\}", 0)
     tried = [
         F.when(candidate != "", F.call_function("try_parse_json", candidate))

@@ -18,9 +18,13 @@ NUMBER_TOKEN = (
 )
 
 
+# a digit ahead: other characters are passed over without trying each kind
+NUMBER_SCAN = rf"(?=\d)(?:{NUMBER_TOKEN})"
+
+
 def number_tokens(text: Column) -> Column:
     """Array of number tokens of a text, in order of appearance."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_SCAN), F.lit(0))
 
 
 def canon_token(token: Column, *, padded_dates: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidymill.functions.markup import (
@@ -12,7 +12,7 @@ from tidymill.functions.markup import (
     strip_tags,
 )
 from tidymill.functions.text import strip
-from tidymill.functions.tokens import NUMBER_TOKEN, canon_token, number_tokens
+from tidymill.functions.tokens import NUMBER_SCAN, canon_token, number_tokens
 
 
 # How a flagged number is wrapped and how flags are counted.
@@ -49,9 +49,26 @@ def _allowed_texts(text: str, fields: str | None, refs: str | None, strict: bool
     return F.concat(*parts)
 
 
-def _allowed_canons(text: str, fields: str | None, refs: str | None, strict: bool) -> Column:
-    found = F.flatten(F.transform(_allowed_texts(text, fields, refs, strict), number_tokens))
-    return F.array_distinct(F.transform(found, lambda tok: canon_token(tok)))
+def _allowed_tokens(text: str, fields: str | None, refs: str | None, strict: bool) -> Column:
+    """The different number tokens of all allowed texts of a row, as they are written."""
+    return F.array_distinct(F.flatten(F.transform(_allowed_texts(text, fields, refs, strict), number_tokens)))
+
+
+def _held(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """Adds a column that is formed once a row: a generator of one row is where filters and later uses stop."""
+    return df.select("*", F.explode(F.array(expression)).alias(name))
+
+
+def _unknown(docs: DataFrame, asked: str, given: str, name: str) -> DataFrame:
+    """Adds the tokens of the array ``asked`` whose canonical form no token of ``given`` has, each once, in order.
+
+    A token written like a given one is known without its canonical form, so that is formed only for the few others
+    and once for each different given one.
+    """
+    odd = _held(_held(docs, "_odd", F.array_except(asked, given)), "_known", F.transform(given, lambda t: canon_token(t)))
+    strange = _held(odd, "_strange", F.array_except(F.transform("_odd", lambda t: canon_token(t)), "_known"))
+    found = F.filter("_odd", lambda t: F.array_contains("_strange", canon_token(t)))
+    return _held(strange, name, found).drop("_odd", "_known", "_strange")
 
 
 def whitelist(
@@ -67,7 +84,7 @@ def whitelist(
     They come from the source text, field names and the citation JSON as a whole; ``strict`` takes
     only the cited values, not ids and timestamps.
     """
-    allowed = _allowed_canons(text, fields, refs, strict)
+    allowed = F.array_distinct(F.transform(_allowed_tokens(text, fields, refs, strict), lambda t: canon_token(t)))
     # distinct inside a row already; doc_id is the key of ``docs``
     return docs.select("doc_id", F.explode(allowed).alias("canon"))
 
@@ -77,17 +94,47 @@ def unsourced_numbers(generated: DataFrame, text: str, allowed: DataFrame) -> Da
     return tokens(generated, text).join(allowed, ["doc_id", "canon"], "left_anti")
 
 
+def unsourced_in_rows(
+    docs: DataFrame,
+    generated: str,
+    text: str,
+    *,
+    fields: str | None = None,
+    refs: str | None = None,
+    strict: bool = False,
+) -> DataFrame:
+    """The same where a row has the generated text beside all it may use: nothing is shuffled."""
+    rows = docs.select(
+        "doc_id",
+        number_tokens(F.col(generated)).alias("_made"),
+        _allowed_tokens(text, fields, refs, strict).alias("_given"),
+    )
+    flagged = _unknown(rows, "_made", "_given", "_flagged").select("doc_id", "_flagged", F.posexplode("_made").alias("pos", "_token"))
+    return flagged.where(F.array_contains("_flagged", F.col("_token"))).select(
+        "doc_id", canon_token(F.col("_token")).alias("canon"), "pos", F.trim("_token").alias("token")
+    )
+
+
 def dropped_numbers(source: DataFrame, source_text: str, polished: DataFrame, text: str) -> DataFrame:
     """Numbers of the source missing from the polished text, in the order of their first occurrences."""
-    first = tokens(source, source_text).groupBy("doc_id", "canon").agg(
-        F.min("pos").alias("pos"), F.min_by("token", "pos").alias("token")
+    both = source.select("doc_id", F.col(source_text).alias("_text")).join(
+        polished.select("doc_id", F.col(text).alias("_polished")), "doc_id", "left"
     )
-    kept = tokens(polished, text).select("doc_id", "canon")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    return (
-        first.join(kept, ["doc_id", "canon"], "left_anti")
-        .withColumn("rank", rank)
-        .select("doc_id", "rank", "token")
+    return dropped_in_rows(both, "_text", "_polished")
+
+
+def dropped_in_rows(docs: DataFrame, text: str, polished: str) -> DataFrame:
+    """The same where a row has both texts: nothing is shuffled."""
+    rows = docs.select(
+        "doc_id",
+        F.array_distinct(number_tokens(F.col(text))).alias("_had"),
+        F.array_distinct(number_tokens(F.col(polished))).alias("_has"),
+    )
+    gone = _held(_unknown(rows, "_had", "_has", "_gone"), "_canons", F.transform("_gone", lambda t: canon_token(t)))
+    # of two ways to write a number the first counts
+    first = F.filter("_gone", lambda t, i: F.array_position("_canons", F.get("_canons", i)) == i + 1)
+    return gone.select("doc_id", F.posexplode(first).alias("_i", "_token")).select(
+        "doc_id", (F.col("_i") + 1).alias("rank"), F.trim("_token").alias("token")
     )
 
 
@@ -101,18 +148,15 @@ def highlight(
     strict: bool = False,
 ) -> DataFrame:
     """Escaped generated text with unsourced numbers wrapped, all inside one row: no shuffle."""
+
     def mark(tok: Column) -> Column:
-        known = F.array_contains("_allowed", canon_token(tok))
-        return F.when(known, tok).otherwise(F.concat(F.lit(SPAN_OPEN), tok, F.lit(SPAN_CLOSE)))
+        return F.when(F.array_contains("_flagged", tok), F.concat(F.lit(SPAN_OPEN), tok, F.lit(SPAN_CLOSE))).otherwise(tok)
 
-    escaped = escape_html(F.coalesce(F.col(generated), F.lit("")))
-    marked = replace_matches(escaped, NUMBER_TOKEN, mark)
-    # the second mention of _allowed keeps Spark from evaluating it anew for every token
-    return (
-        docs.withColumn("_allowed", _allowed_canons(text, fields, refs, strict))
-        .withColumn("html", F.when(F.col("_allowed").isNotNull(), marked))
-        .drop("_allowed")
-    )
+    escaped = _held(docs, "_escaped", escape_html(F.coalesce(F.col(generated), F.lit(""))))
+    made = _held(escaped, "_made", number_tokens(F.col("_escaped")))
+    flagged = _unknown(_held(made, "_given", _allowed_tokens(text, fields, refs, strict)), "_made", "_given", "_flagged")
+    marked = _held(flagged, "html", replace_matches(F.col("_escaped"), NUMBER_SCAN, mark, F.col("_made")))
+    return marked.drop("_escaped", "_made", "_given", "_flagged")
 
 
 def export_guard(reports: DataFrame, html: str) -> DataFrame:
@@ -137,25 +181,48 @@ def explode_refs(reports: DataFrame, refs: str = "refs_json") -> DataFrame:
     ).select("id", "refs_cnt", "pos", "ref.field", "ref.agg", "ref.agg_label", F.col("ref.value").try_cast("double").alias("value"))
 
 
-_HEADING = r"(?is)<(h1|h2)\b[^>]*>.*?</\1>"
-_HINT = r'(?is)<p\b[^>]*class="[^"]*template-hint[^"]*"[^>]*>.*?</p>'
+def _pieces(html: Column, tag: str) -> Column:
+    """The parts of a page between opening tags; all but the first begin with the tag's name."""
+    return F.split(F.coalesce(html, F.lit("")), rf"<(?={tag}[\s>])")
+
+
+def _closing(piece: Column, name: Column | str) -> Column:
+    """Where the closing tag starts in a part, 0 if it has none."""
+    return F.instr(F.lower(piece), F.concat(F.lit("</"), F.lit(name) if isinstance(name, str) else name))
 
 
 def report_outline(reports: DataFrame, html: str, key: str) -> DataFrame:
-    """h1 and h2 headings in order, as text; empty ones are skipped."""
-    heads = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_HEADING), F.lit(0))
-    level = F.lower(F.substring("head", 2, 2))
-    title = strip_tags(F.col("head"))
+    """h1 and h2 headings in order, as text; empty ones and those that are not closed are skipped."""
+    parts = _pieces(F.col(html), "[hH][12]")
+    named = F.transform(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda p: F.struct(F.lower(F.substring(p, 1, 2)).alias("level"), p.alias("rest")),
+    )
+    closed = F.filter(named, lambda h: _closing(h["rest"], h["level"]) > 0)
+    opened, end = F.instr("h.rest", F.lit(">")), _closing(F.col("h.rest"), F.col("h.level"))
+    title = strip_tags(F.substring("h.rest", opened + 1, F.greatest(end - opened - 1, F.lit(0))))
     return (
-        reports.select(key, F.posexplode(heads).alias("pos", "head"))
-        .select(key, "pos", level.alias("level"), title.alias("title"))
+        reports.select(key, F.posexplode(closed).alias("pos", "h"))
+        .select(key, "pos", F.col("h.level").alias("level"), title.alias("title"))
         .where(F.col("title") != "")
     )
 
 
+# Fixed value: the class of a template's hints.
+HINT_CLASS = "template-hint"
+
+
 def without_hints(html: Column) -> Column:
     """Report body without the template's hint paragraphs."""
-    return F.regexp_replace(html, _HINT, "")
+    parts = _pieces(html, "[pP]")
+
+    def rest(piece: Column, i: Column) -> Column:
+        named = F.regexp_extract(F.substring_index(piece, ">", 1), r'(?i)class="([^"]*)"', 1).contains(HINT_CLASS)
+        end = _closing(piece, "p>")
+        after = F.substring(piece, end + 4, F.length(piece))
+        return F.when(i == 0, piece).when(named & (end > 0), after).otherwise(F.concat(F.lit("<"), piece))
+
+    return F.when(html.isNotNull(), F.array_join(F.transform(parts, rest), ""))
 
 
 _SECTIONS = "struct<sections:array<struct<title:string,points:array<string>>>>"

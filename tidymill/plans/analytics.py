@@ -236,15 +236,32 @@ def growth(
     )
 
 
+SKETCH_ERROR = 0.01  # standard deviation of approximate counts: practically all within 5 %
+
+
 def pv_uv(df: DataFrame, user: str, day: str, channel: str, *, approximate: bool = False) -> DataFrame:
     """Visits, distinct users and visits per user by day and channel."""
-    users = F.approx_count_distinct(user) if approximate else F.count_distinct(user)
+    users = F.approx_count_distinct(user, SKETCH_ERROR) if approximate else F.count_distinct(user)
     counted = df.groupBy(F.col(day).cast("date").alias("dt"), F.col(channel).alias("channel")).agg(
         F.count("*").alias("pv"), users.alias("uv")
     )
     return counted.withColumn("pv_per_uv", F.round(F.col("pv") / F.col("uv"), 2))
 
 
+def daily_sketches(df: DataFrame, user: str, day: str) -> DataFrame:
+    """Visits and a sketch of the users of each day; kept, it answers for any longer time without the detail rows."""
+    return df.groupBy(F.col(day).cast("date").alias("dt")).agg(
+        F.count("*").alias("pv"), F.hll_sketch_agg(user).alias("users")
+    )
+
+
+def weekly_users(daily: DataFrame) -> DataFrame:
+    """Visits and approximate distinct users of each week (from Monday), from daily sketches alone."""
+    week = F.to_date(F.date_trunc("week", F.col("dt")))
+    merged = daily.groupBy(week.alias("week")).agg(F.sum("pv").alias("pv"), F.hll_union_agg("users").alias("users"))
+    return merged.select("week", "pv", F.hll_sketch_estimate("users").alias("uv"))
+
+
 def running_total(df: DataFrame, day: str, amount: str, user: str) -> DataFrame:
     """Daily amount and buyers with running sums; the window sees one row per day."""
     daily = df.groupBy(F.col(day).cast("date").alias("dt")).agg(

@@ -7,7 +7,6 @@ no task ever sees more rows than a block holds. All of it is lazy and nothing is
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -125,18 +124,23 @@ def number_in_order(df: DataFrame, order: Sequence[Key]) -> DataFrame:
     )
 
     def at_or_before(cut: Column) -> Column:
+        # nulls first going up, or last going down, is how structs compare
+        if all(k.down == order[0].down == k.nulls_after for k in order):
+            return cut >= F.struct(*names) if order[0].down else cut <= F.struct(*names)
         out = F.lit(True)
         for key, name in reversed(list(zip(order, names))):
             a, b = cut[name], F.col(name)
             out = key.before(a, b) | (a.eqNullSafe(b) & out)
         return out
 
-    step = math.isqrt(ranges) + 1
-    with_cuts = keyed.withColumn("_cuts", cuts.scalar())
-    coarse = F.filter("_cuts", lambda cut, i: ((i + 1) % step == 0) & at_or_before(cut))
-    near = with_cuts.withColumn("_far", F.size(coarse) * step)
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_far") + 1, F.lit(step)), at_or_before))
-    ranged = near.withColumn("_block", (F.col("_far") + fine).cast("bigint")).drop("_cuts", "_far")
+    # a binary search in the splitters, one comparison for each bit of their number
+    bits = F.array(*(F.lit(1 << bit) for bit in reversed(range(ranges.bit_length()))))
+
+    def search(at: Column, bit: Column) -> Column:
+        cut = F.get("_cuts", at + bit - 1)
+        return at + F.when(cut.isNotNull() & at_or_before(cut), bit).otherwise(0)
+
+    ranged = keyed.withColumn("_cuts", cuts.scalar()).withColumn("_block", F.aggregate(bits, F.lit(0), search).cast("bigint")).drop("_cuts")
     offsets = _rows_before(ranged.groupBy("_block").agg(F.count("*").alias("_n"))).select("_block", "_before")
     inside = Window.partitionBy("_block").orderBy(*(Key(F.col(n), k.down, k.nulls_last).ordered() for k, n in zip(order, names)))
     numbered = ranged.withColumn("_inside", F.row_number().over(inside)).join(offsets, "_block")

@@ -198,6 +198,16 @@ class Tables:
             "CASE WHEN event_id % 7 = 0 THEN -1 ELSE user_id END AS output_file_id",
         )
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """Commits of a version store, one per event: runs, some undone, some of these run again."""
+        return self.read("events").selectExpr(
+            "event_id AS seq",
+            "concat('v', event_id - event_id % 3) AS version",
+            "CASE WHEN event_id % 3 = 1 AND event_id % 4 < 2 OR event_id % 3 = 2 AND event_id % 5 = 0 THEN 'undo' ELSE 'run' END AS kind",
+            "concat('user_', (event_id - event_id % 3) % 97, '.csv') AS source",
+        )
+
     @cached_property
     def presets(self) -> DataFrame:
         """Named presets: one per region."""
@@ -328,6 +338,12 @@ DUCK: dict[str, str] = {
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 END AS preset_id,
                CASE WHEN event_id % 7 = 0 THEN -1 ELSE user_id END AS output_file_id
         FROM events""",
+    "ledger": """
+        SELECT event_id AS seq, 'v' || (event_id - event_id % 3) AS version,
+               CASE WHEN event_id % 3 = 1 AND event_id % 4 < 2 OR event_id % 3 = 2 AND event_id % 5 = 0
+                    THEN 'undo' ELSE 'run' END AS kind,
+               'user_' || (event_id - event_id % 3) % 97 || '.csv' AS source
+        FROM events""",
     "presets": "SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region",
     "texts": """
         SELECT doc_id, text, [lang, source || '_2024'] AS fields,

@@ -8,6 +8,7 @@ from tidymill.functions import text as T
 from tidymill.operators.calc import calc
 from tidymill.plans import analytics as A
 from tidymill.plans.catalog import count_by
+from tidymill.session import pin
 from workload.fixtures import Tables, duck, missing, number, number_text, pct
 from workload.registry import query
 
@@ -185,9 +186,31 @@ def l7(t: Tables):
     return A.pv_uv(t.events, "user_id", "ts", "event_type")
 
 
-@query("a11_approximate_uv")
+@query(
+    "a11_approximate_uv",
+    """SELECT ts::DATE::VARCHAR AS dt, event_type AS channel, count(*) AS pv, true AS near
+    FROM events GROUP BY 1, 2""",
+)
 def a11(t: Tables):
-    return A.pv_uv(t.events, "user_id", "ts", "event_type", approximate=True)
+    """Approximate counts beside exact ones: within 5 %."""
+    close = A.pv_uv(t.events, "user_id", "ts", "event_type", approximate=True)
+    exact = A.pv_uv(t.events, "user_id", "ts", "event_type").select("dt", "channel", F.col("uv").alias("users"))
+    near = F.abs(F.col("uv") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.05)
+    return close.join(exact, ["dt", "channel"]).select("dt", "channel", "pv", near.alias("near"))
+
+
+@query(
+    "a11_weekly_uv_of_sketches",
+    "SELECT date_trunc('week', ts)::DATE::VARCHAR AS week, count(*) AS pv, true AS near FROM events GROUP BY 1",
+)
+def a11_weeks(t: Tables):
+    """Stored daily sketches merged to weeks, beside the exact weekly counts."""
+    daily = pin(A.daily_sketches(t.events, "user_id", "ts"))
+    weeks = A.weekly_users(daily)
+    week = F.to_date(F.date_trunc("week", F.col("ts").cast("timestamp")))
+    exact = t.events.groupBy(week.alias("week")).agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("uv") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.05)
+    return weeks.join(exact, "week").select("week", "pv", near.alias("near"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidymill.functions.markup import mask_fields
@@ -9,6 +11,8 @@ from tidymill.operators import fields as C
 from tidymill.operators.actions import anomaly_test
 from tidymill.operators.health import anomaly_list
 from tidymill.plans import cleaning as P
+from tidymill.session import checkpoint_dir
+from tidymill.sources import versions as V
 from tidymill.sources.versions import timeline
 from workload import fixtures as X
 from workload.fixtures import Tables, duck
@@ -470,3 +474,60 @@ def j7(t: Tables):
     numbered = renumber(t.dirty_orders)
     rule_hits = anomaly_list(numbered).where(F.col("rules").contains("当前值"))
     return P.run_action(numbered, _do("handle_anomaly", mode="drop", anomaly_rows=rule_hits))
+
+
+# --- versions ----------------------------------------------------------------------------------
+
+_LIVE = """live AS (SELECT seq, version, kind, source FROM (
+    SELECT *, row_number() OVER (PARTITION BY version ORDER BY seq DESC) AS n FROM ledger) WHERE n = 1 AND kind = 'run')"""
+
+
+@query("s7_live_versions", duck(f"WITH {_LIVE} SELECT * FROM live", "ledger"))
+def s7_live(t: Tables):
+    return V.live_versions(t.ledger)
+
+
+@query(
+    "s8_source_states",
+    duck(
+        f"""WITH {_LIVE}, c AS (SELECT source, count(*) AS n, arg_max(version, seq) AS version FROM live GROUP BY source)
+        SELECT DISTINCT l.source, CASE WHEN n > 0 THEN 'cleaned' ELSE 'imported' END AS status,
+            coalesce(n, 0) AS live_cnt, c.version FROM ledger l LEFT JOIN c ON l.source = c.source""",
+        "ledger",
+    ),
+)
+def s8_states(t: Tables):
+    return V.source_states(t.ledger)
+
+
+def _stored(t: Tables) -> tuple[str, str]:
+    """A version of the messy orders, below the shared folder."""
+    base = f"{checkpoint_dir(t.spark)}/versions-{uuid.uuid4().hex}"
+    return base, V.write_version(t.dirty_orders, P.PRESETS[P.ORDERS_PRESET], base, "orders.csv")
+
+
+@query(
+    "s7_version_rows",
+    duck(f"WITH {_DEDUP}, p AS ({_CLEANED}) SELECT * REPLACE (row_number() OVER (ORDER BY row_no) AS row_no) FROM p", "dirty_orders"),
+)
+def s7_rows(t: Tables):
+    return V.read_version(t.spark, *_stored(t))
+
+
+@query(
+    "s7_version_record",
+    duck(
+        f"""WITH {_DEDUP}, p AS ({_CLEANED})
+        SELECT 'run' AS kind, 'orders.csv' AS source, (SELECT count(*) FROM dirty_orders)::VARCHAR AS rows_before,
+            (SELECT count(*) FROM p)::VARCHAR AS rows_after,
+            ((SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM d))::VARCHAR AS rows_dropped_dedup,
+            6::BIGINT AS fields""",
+        "dirty_orders",
+    ),
+)
+def s7_record(t: Tables):
+    base, _ = _stored(t)
+    names = ("rows_before", "rows_after", "rows_dropped_dedup")
+    return V.ledger(t.spark, base).select(
+        "kind", "source", *(F.col("stats")[n].alias(n) for n in names), F.size("fields").cast("bigint").alias("fields")
+    )

@@ -60,6 +60,11 @@ _UNSOURCED = f"""{_allowed(_WHOLE_REFS)}, {_canons('made', 'generated')},
     duck(f"WITH {_UNSOURCED} SELECT doc_id, canon, pos, token FROM flagged", "texts"),
 )
 def n2(t: Tables):
+    return N.unsourced_in_rows(t.texts, "generated", "text", fields="fields", refs="refs")
+
+
+@query("n2_unsourced_numbers_joined", duck(f"WITH {_UNSOURCED} SELECT doc_id, canon, pos, token FROM flagged", "texts"))
+def n2_joined(t: Tables):
     return N.unsourced_numbers(t.texts, "generated", _whitelist(t))
 
 
@@ -117,7 +122,7 @@ def n4(t: Tables):
     ),
 )
 def n5(t: Tables):
-    return N.dropped_numbers(t.texts, "text", t.texts, "polished")
+    return N.dropped_in_rows(t.texts, "text", "polished")
 
 
 @query(
