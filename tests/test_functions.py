@@ -210,3 +210,22 @@ def test_framework_sections_drop_blanks(spark):
     made = spark.createDataFrame([(1, content)], "id bigint, content string")
     rows = N.framework_sections(made, "content", "id").orderBy("section", "point_no").collect()
     assert [(r.title, r.point) for r in rows] == [("A", "p"), ("B", None)]
+
+
+def test_dates_in_more_ways(spark):
+    cases = {
+        "20260901": "2026-09-01", "20261301": None, "2026.9.1": "2026-09-01", " 2026.9.1 08:05": "2026-09-01", "Sep 1, 2026": "2026-09-01",
+        "september 1 2026": "2026-09-01", "1 Sept. 2026": "2026-09-01", "31/12/2026": "2026-12-31", "12/31/2026": "2026-12-31",
+        "3/4/2026": "2026-03-04", "3-4-2026 7:00": "2026-03-04", "31/31/2026": None, "Foo 1, 2026": None, "3/4-2026": None,
+        "2026-02-31": None, "2026/2/3": "2026-02-03", "12345": None, "": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    day = D.parse_any_date(F.col("v")).cast("date").cast("string")
+    assert {r.v: r.d for r in df.select("v", day.alias("d")).collect()} == cases
+    turned = df.where("v = '3/4/2026'").select(D.parse_any_date(F.col("v"), F.lit(True)).cast("date").cast("string"))
+    assert turned.first()[0] == "2026-04-03"
+
+    def vote(*values):
+        return spark.createDataFrame([(v,) for v in values], "v string").select(D.day_first(F.col("v"))).first()[0]
+
+    assert vote("3/4/2026", "31/12/2026", "x") and not vote("3/4/2026", "12/31/2026") and not vote("1/2/2026", None)

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import re
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,17 +99,31 @@ def test_a_table_is_numbered_without_a_copy(spark, tmp_path, rows):
 
 
 def test_detect_encodings(spark, tmp_path):
-    write(tmp_path / "u.csv", "城市\n" * 20000)  # longer than the probe, cut inside a character
-    write(tmp_path / "s.csv", "城市\n", "utf-8-sig")
-    write(tmp_path / "g.csv", "城市,北京\n", "gbk")
-    (tmp_path / "bad.csv").write_bytes(b"\xff\xfe\x00\x81\x00")
-    found = {os.path.basename(r.path): (r.encoding, r.ok) for r in detect_encodings(spark, str(tmp_path)).collect()}
-    assert found == {
-        "u.csv": ("utf-8", True),
-        "s.csv": ("utf-8-sig", True),
-        "g.csv": ("gbk", True),
-        "bad.csv": (None, False),
+    files = {
+        "u.csv": ("城市\n" * 20000).encode(),
+        "s.csv": "城市\n".encode("utf-8-sig"),
+        "s no end.csv": "a\r\n城".encode("utf-8-sig"),
+        "g.csv": "城市,北京\n".encode("gbk"),
+        # plain for longer than any probe, then GBK; and cut inside a character
+        "late.csv": b"plain\n" * 40000 + "城市".encode("gbk"),
+        "cut.csv": "a\n城市".encode("gbk")[:-1],
+        "bad.csv": b"\xff\xfe\x00\x81\x00",
+        "mark.csv": b"\xef\xbb\xbf" + "城\n".encode("gbk"),
+        "empty.csv": b"",
+        "one.csv": b"x",
     }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = detect_encodings(spark, str(tmp_path))
+        got = {unquote(os.path.basename(r.path)): (r.encoding, r.ok) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = dict.fromkeys(("u.csv", "one.csv"), "utf-8") | dict.fromkeys(("s.csv", "s no end.csv"), "utf-8-sig")
+    want |= dict.fromkeys(("g.csv", "late.csv"), "gbk") | dict.fromkeys(("cut.csv", "bad.csv", "mark.csv"))
+    assert got == {name: (encoding, encoding is not None) for name, encoding in want.items()}
+    assert "MapIn" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize(

@@ -54,6 +54,56 @@ def parse_date(col: Column) -> Column:
     return F.when(date_shaped(text), iso.try_cast("timestamp_ntz"))
 
 
+# English months by their first three letters.
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH_NAME = r"([A-Za-z]{3,9})\.?"
+_NAMED = (rf"^{_MONTH_NAME} +(\d{{1,2}}),? +(\d{{4}})$", rf"^(\d{{1,2}}) +{_MONTH_NAME},? +(\d{{4}})$")
+_SHORT = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}})({_TIME})$"
+_DOTTED = rf"^(\d{{4}})\.(\d{{1,2}})\.(\d{{1,2}})({_TIME})$"
+_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+
+
+def day_first(col: Column) -> Column:
+    """Aggregate: whether the whole column writes the day before the month, by the parts that cannot be a month."""
+    text = strip(col)
+    first, second = (F.regexp_extract(text, _SHORT, i).try_cast("int") > 12 for i in (1, 3))
+    return F.count_if(first) > F.count_if(second)
+
+
+def parse_any_date(col: Column, day_comes_first: Column | None = None) -> Column:
+    """Date text in more ways: also 20260901, 2026.9.1, 9/1/2026 and Sep 1, 2026.
+
+    Of two short numbers before a year the first is the month, or the day where ``day_comes_first``; a text that is a
+    date only the other way round is read that way.
+    """
+    text = strip(col)
+
+    def part(pattern: str, i: int) -> Column:
+        return F.regexp_extract(text, pattern, i)
+
+    def date(year: Column, month: Column, day: Column, time: Column | None = None) -> Column:
+        joined = F.concat_ws("-", year, month, day)
+        return (joined if time is None else F.concat(joined, time)).try_cast("timestamp_ntz")
+
+    def named(pattern: str, month: int, day: int) -> Column:
+        listed = F.array(*(F.lit(m) for m in _MONTHS))
+        place = F.array_position(listed, F.lower(F.substring(part(pattern, month), 1, 3)))
+        return F.when(place > 0, date(part(pattern, 3), place.cast("string"), part(pattern, day)))
+
+    one, two = (date(part(_SHORT, 4), part(_SHORT, m), part(_SHORT, d), part(_SHORT, 5)) for m, d in ((1, 3), (3, 1)))
+    short = F.coalesce(one, two)
+    if day_comes_first is not None:
+        short = F.when(day_comes_first, F.coalesce(two, one)).otherwise(short)
+    return (
+        F.when(date_shaped(text), parse_date(col))
+        .when(text.rlike(_DIGITS), date(*(part(_DIGITS, i) for i in (1, 2, 3))))
+        .when(text.rlike(_DOTTED), date(*(part(_DOTTED, i) for i in (1, 2, 3, 4))))
+        .when(text.rlike(_SHORT), short)
+        .when(text.rlike(_NAMED[0]), named(_NAMED[0], 1, 2))
+        .when(text.rlike(_NAMED[1]), named(_NAMED[1], 2, 1))
+    )
+
+
 def spark_pattern(output_format: str | None) -> str:
     """Translate ``YYYY-MM-DD`` or strftime codes into a Spark datetime pattern."""
     out, literal = [], ""
@@ -73,9 +123,9 @@ def spark_pattern(output_format: str | None) -> str:
     return "".join([*out, flush()])
 
 
-def format_date(col: Column, output_format: str | None = None) -> Column:
-    """Parsed date text in the wanted format; texts that do not parse are kept unchanged."""
-    return F.coalesce(F.date_format(parse_date(col), spark_pattern(output_format)), col)
+def format_date(col: Column, output_format: str | None = None, day_comes_first: Column | None = None) -> Column:
+    """Date text in the wanted format; texts that do not parse are kept unchanged."""
+    return F.coalesce(F.date_format(parse_any_date(col, day_comes_first), spark_pattern(output_format)), col)
 
 
 def parse_deadline(col: Column) -> Column:

@@ -138,34 +138,38 @@ def duplicates_by(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     return None if set(keys) == set(data_columns(df)) else duplicate_counts(df, keys)
 
 
-def duplicate_samples(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The first 20 duplicate groups: up to six row numbers, how many more, and the values.
+def duplicate_samples(
+    df: DataFrame, columns: Sequence[str] | None = None, *, groups: int = DUP_GROUPS, rows: int = DUP_ROWS_PER_GROUP
+) -> DataFrame:
+    """The first duplicate groups: up to six row numbers, how many more, and the values.
 
     Groups are found with plain counters; row numbers are then read for those 20 groups only, so a
-    group that covers a third of the table never ends up in one place.
+    group that covers a third of the table never ends up in one place. ``duplicate_rows`` has them all.
     """
     keys = _dup_columns(df, columns)
     base = df.select(ROW_NO, *_filled(keys))
-    groups = (
-        base.groupBy(*keys)
-        .agg(F.count("*").alias("cnt"), F.min(ROW_NO).alias("first_row"))
-        .where(F.col("cnt") > 1)
-        .orderBy("first_row")
-        .limit(DUP_GROUPS)
-    )
+    first = _dup_groups(base, keys).orderBy("first_row").limit(groups)
     rank = F.row_number().over(Window.partitionBy("first_row").orderBy(ROW_NO))
-    ranked = (
-        base.join(F.broadcast(groups), keys)  # 20 rows
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= DUP_ROWS_PER_GROUP)
-    )
+    ranked = base.join(F.broadcast(first), keys).withColumn("rank", rank).where(F.col("rank") <= rows)
     listed = ranked.groupBy("first_row", "cnt", *keys).agg(
-        F.array_sort(F.collect_list(ROW_NO)).alias("row_nos")  # six at most
+        F.array_sort(F.collect_list(ROW_NO)).alias("row_nos")  # as many as asked for at most
     )
-    extra = F.greatest(F.col("cnt") - DUP_ROWS_PER_GROUP, F.lit(0)).alias("extra")
+    extra = F.greatest(F.col("cnt") - rows, F.lit(0)).alias("extra")
     return listed.select("first_row", "row_nos", extra, *keys)
 
 
+def _dup_groups(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    counted = base.groupBy(*keys).agg(F.count("*").alias("cnt"), F.min(ROW_NO).alias("first_row"))
+    return counted.where(F.col("cnt") > 1)
+
+
+def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Every row that has a copy: ``row_no``, the first row of its group and the group's size."""
+    keys = _dup_columns(df, columns)
+    base = df.select(ROW_NO, *_filled(keys))
+    return base.join(_dup_groups(base, keys), keys).select(ROW_NO, "first_row", "cnt")
+
+
 # --- anomalies ---------------------------------------------------------------------------------
 
 
@@ -339,7 +343,9 @@ def type_suggestions(df: DataFrame, profile: DataFrame | None = None) -> DataFra
     places = wanted.select(
         "field", F.explode(F.array_compact(F.array("thousands_row", "date_row"))).alias(ROW_NO)
     ).distinct()
-    shown = cells(df).join(small_side(places, 2 * len(columns)), ["field", ROW_NO])
+    # two rows a column at most are looked at cell by cell
+    near = df.join(small_side(places.select(ROW_NO).distinct(), 2 * len(columns)), ROW_NO, "left_semi")
+    shown = cells(near).join(small_side(places, 2 * len(columns)), ["field", ROW_NO])
     picked = shown.select("field", ROW_NO, "text")
     wide = wanted
     for kind in ("thousands", "date"):

@@ -164,13 +164,29 @@ def preview(df: DataFrame, actions: Sequence[dict]) -> DataFrame:
     A failing action is reported and skipped. The sample is small by definition, so every step is
     run at once and its verdict read back.
     """
-    current = head_rows(df, PREVIEW_ROWS).persist()
-    reports = []
+    held = [head_rows(df, PREVIEW_ROWS).persist()]
+    try:
+        return df.sparkSession.createDataFrame(_reports(held, actions), PREVIEW_SCHEMA)
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
+PREVIEW_SCHEMA = (
+    "step int, type string, ok boolean, error string, rows_before bigint, rows_after bigint,"
+    " affected_rows bigint, samples array<map<string,string>>"
+)
+
+
+def _reports(held: list[DataFrame], actions: Sequence[dict]) -> list[dict]:
+    """What each action does to the state the last successful one left; every state that is kept is added to ``held``."""
+    current, reports = held[0], []
     for step, action in enumerate(actions, start=1):
         rows = current.count()
         report = {"step": step, "type": action.get("type"), "rows_before": rows}
         try:
             after = run_action(current, action).persist()
+            held.append(after)
             verdict = affected_rows(current, after).first()
             pairs = [r.asDict() for r in sample_pairs(current, after).orderBy("position").collect()]
             report |= {
@@ -193,11 +209,7 @@ def preview(df: DataFrame, actions: Sequence[dict]) -> DataFrame:
                 "samples": [],
             }
         reports.append(report)
-    schema = (
-        "step int, type string, ok boolean, error string, rows_before bigint, rows_after bigint,"
-        " affected_rows bigint, samples array<map<string,string>>"
-    )
-    return df.sparkSession.createDataFrame(reports, schema)
+    return reports
 
 
 # --- accounting -------------------------------------------------------------------------------

@@ -2,46 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-PROBE_BYTES = 65536
-
-
-def _decodes(raw: bytes, encoding: str, whole: bool) -> bool:
-    try:
-        raw.decode(encoding)
-        return True
-    except UnicodeDecodeError as error:
-        # a character cut by the end of the probe is not an error
-        return not whole and error.end >= len(raw) and error.start >= len(raw) - 3
-
-
-def _pick(raw: bytes, whole: bool) -> str | None:
-    if raw.startswith(b"\xef\xbb\xbf") and _decodes(raw, "utf-8-sig", whole):
-        return "utf-8-sig"
-    return next((e for e in ("utf-8", "gbk") if _decodes(raw, e, whole)), None)
+# single bytes, and pairs of a lead and a trail byte; possessive, so long lines need no stack
+_GBK = r"^(?:[\x00-\x7F]|[\x81-\xFE][\x40-\x7E\x80-\xFE])*+$"
+_BOM_BYTES = 3
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding, ok)`` per file: strict decoding of the first 64 KiB, UTF-8 before GBK.
+    """``(path, encoding, ok)`` per file, judged by all its bytes: UTF-8 (with its mark or without) before GBK.
 
-    The cut happens in SQL, so only the probe leaves the JVM.
+    Files are read line by line in splits, as the bytes they are; neither encoding has a line feed inside a
+    character. A file is valid if all its lines are, which is one aggregate. Lines come without the mark
+    at the start of a file, so its three bytes are those that the lines and their line feeds do not account for.
+    Empty files have no bytes to judge and no row.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    probes = files.selectExpr(
-        "path",
-        f"substring(content, 1, {PROBE_BYTES}) AS probe",
-        f"length <= {PROBE_BYTES} AS whole",
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("path", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    )
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("lineSep", "\n")
+        .text(path)
+        .select(F.col("_metadata.file_path").alias("_of"), "value")
+    )
+    octets = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    judged = lines.groupBy("_of").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
+        F.bool_and(octets.rlike(_GBK)).alias("_gbk"),
+        F.sum(F.octet_length("value") + 1).alias("_seen"),
+    )
+    # the last line may end without a line feed
+    marked = F.col("_size") - F.col("_seen") >= _BOM_BYTES - 1
+    encoding = (
+        F.when(F.col("_utf8"), F.when(marked, "utf-8-sig").otherwise("utf-8"))
+        .when(F.col("_gbk") & ~marked, "gbk")
+    )
+    return files.join(judged, F.col("_file") == F.col("_of")).select(
+        "path", encoding.alias("encoding"), encoding.isNotNull().alias("ok")
     )
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_pick(bytes(p), w) for p, w in zip(batch["probe"], batch["whole"])]
-            yield pd.DataFrame(
-                {"path": batch["path"], "encoding": found, "ok": [e is not None for e in found]}
-            )
-
-    return probes.mapInPandas(decide, "path string, encoding string, ok boolean")

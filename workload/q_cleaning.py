@@ -245,6 +245,19 @@ _action(
     _sorted("encode(channel), row_no"),
 )
 
+@query(
+    "k10_normalize_any_date",
+    """SELECT o_orderkey + 1 AS row_no, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day FROM orders""",
+)
+def k10_any(t: Tables):
+    """The same days written in seven ways; the days beyond the twelfth say that the day comes first."""
+    day, style = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 7
+    patterns = ("yyyyMMdd", "y.M.d", "MMM d, yyyy", "d/M/yyyy", "d MMMM yyyy", "dd.MM.yyyy", "yyyy-MM-dd")
+    written = F.coalesce(*(F.when(style == i, F.date_format(day, p)) for i, p in enumerate(patterns)))
+    df = t.orders.select((F.col("o_orderkey") + 1).alias("row_no"), written.alias("day"))
+    return P.run_action(df, _do("normalize_date", field="day", output_format="YYYY-MM-DD", day_first="auto"))
+
+
 # --- anomalies ---------------------------------------------------------------------------------
 
 
@@ -334,7 +347,20 @@ def k19(t: Tables):
     return P.run_actions(t.dirty_orders, CHAIN)
 
 
-@query("k20_preview")
+@query(
+    "k20_preview",
+    duck(
+        f"""WITH s AS (SELECT * FROM dirty_orders ORDER BY row_no LIMIT 1000),
+        f AS (SELECT *, {_AMOUNT_TEXT} <> amount AS shown, {X.missing('channel')} AS gap FROM s WHERE {_num('amount')} > 0),
+        n AS (SELECT (SELECT count(*) FROM s) AS a, count(*) AS b, count(*) FILTER (shown) AS c, count(*) FILTER (gap) AS d,
+            count(DISTINCT (user_id, CASE WHEN gap THEN 'other' ELSE channel END)) AS e FROM f)
+        SELECT unnest(range(1, 7)) AS step,
+            unnest(['filter_rows', 'convert_type', 'fill_missing', 'rename_field', 'drop_duplicates', 'drop_field']) AS type,
+            true AS ok, NULL::VARCHAR AS error, unnest([a, b, b, b, b, e]) AS rows_before,
+            unnest([b, b, b, b, e, e]) AS rows_after, unnest([a - b, c, d, 0, b - e, 0]) AS affected_rows FROM n""",
+        "dirty_orders",
+    ),
+)
 def k20(t: Tables):
     return P.preview(t.dirty_orders, CHAIN).drop("samples")
 

@@ -15,6 +15,7 @@ from tidymill.functions.tokens import canon_token
 from tidymill.operators import fields as C
 from tidymill.operators.provenance import tokens
 from tidymill.session import checkpoint_dir
+from tidymill.sources.encodings import detect_encodings
 from tidymill.sources.guard import guarded_select
 from tidymill.sources.numbering import renumber
 from tidymill.sources.text_tables import head_rows, read_text_table
@@ -317,6 +318,23 @@ def s1_numbers(t: Tables):
     )
 
 
+@query(
+    "s2_detect_encodings",
+    """SELECT DISTINCT doc_id % 4 AS kind, CASE doc_id % 4 WHEN 1 THEN 'gbk' WHEN 2 THEN NULL ELSE 'utf-8' END AS encoding,
+        doc_id % 4 <> 2 AS ok FROM documents""",
+)
+def s2(t: Tables):
+    """Documents as text files: UTF-8, GBK at the end of lines only, neither, and plain ASCII."""
+    kind, plain = F.col("doc_id") % 4, F.regexp_replace("text", "[^\\x00-\\x7f]", "")
+    tail = F.when(kind == 1, F.unhex(F.lit("D6D0B9FA"))).when(kind == 2, F.unhex(F.lit("D6FF")))
+    body = F.when(kind == 0, F.col("text")).when(kind == 3, plain).otherwise(F.concat(plain, tail.cast("string")))
+    folder = f"{checkpoint_dir(t.spark)}/encodings-{uuid.uuid4().hex}"
+    t.documents.select(kind.alias("kind"), F.coalesce(body, F.lit("")).alias("value")).write.partitionBy("kind").text(folder)
+    found = detect_encodings(t.spark, folder)
+    of = F.regexp_extract("path", r"kind=(\d)", 1).cast("bigint")
+    return found.select(of.alias("kind"), "encoding", "ok").distinct()
+
+
 # --- field catalog -----------------------------------------------------------------------------
 
 

@@ -53,6 +53,18 @@ def h4_by(t: Tables):
     return H.duplicate_samples(t.dirty_orders, ["channel", "age"])
 
 
+@query(
+    "h4_duplicate_rows",
+    duck(
+        """SELECT row_no, first_row, cnt FROM (SELECT row_no, min(row_no) OVER w AS first_row, count(*) OVER w AS cnt
+            FROM dirty_orders WINDOW w AS (PARTITION BY channel, age, order_date)) WHERE cnt > 1""",
+        "dirty_orders",
+    ),
+)
+def h4_rows(t: Tables):
+    return H.duplicate_rows(t.dirty_orders, ["channel", "age", "order_date"])
+
+
 _BOUNDS = f"""num AS (SELECT row_no, field, {X.strip('value')} AS v,
         CASE WHEN NOT {X.missing('value')} THEN {X.number('value')} END AS x,
         NOT {X.missing('value')} AS there FROM long),
@@ -96,7 +108,13 @@ def h6(t: Tables):
 @query(
     "h7_anomaly_sigma",
     duck(
-        f"WITH {LONG_ORDERS}, {_BOUNDS}, {_FLAGS} SELECT row_no, field, x AS number FROM flags WHERE sigma",
+        f"""WITH c AS (SELECT row_no, unnest({ORDER_COLUMNS[2:]}) AS field,
+                unnest([{', '.join(ORDER_COLUMNS[2:])}]) AS value FROM dirty_orders),
+        n AS MATERIALIZED (SELECT row_no, field, NOT {X.missing('value')} AS there,
+                CASE WHEN NOT {X.missing('value')} THEN {X.number('value')} END AS x FROM c),
+        b AS MATERIALIZED (SELECT field, avg(x) - 3 * stddev_pop(x) AS lo, avg(x) + 3 * stddev_pop(x) AS hi
+            FROM n GROUP BY field HAVING count(*) FILTER (there) >= 20 AND count(x) / count(*) FILTER (there) >= 0.8)
+        SELECT row_no, n.field, x AS number FROM n JOIN b ON n.field = b.field WHERE x < lo OR x > hi""",
         "dirty_orders",
     ),
 )
