@@ -16,17 +16,30 @@ SAMPLE_VALUES = 3
 TYPES = ("integer", "decimal", "date", "boolean", "text", "mixed")
 
 
-def field_stats(df: DataFrame) -> DataFrame:
-    """Per column: position, missing count, missing rate and the first three raw values."""
+def _shape_counts() -> dict[str, Column]:
+    """How many non-missing cells have each shape."""
+    value, filled = F.col("text"), ~F.col("missing")
+    tests = {
+        "ints": value.rlike(T.INTEGER),
+        "floats": value.rlike(T.FLOAT),
+        "thousands": T.thousands_shaped(value),
+        "bools": value.rlike(T.BOOLEAN),
+        "dates": D.date_shaped(value),
+    }
+    return {name: F.count_if(filled & test) for name, test in tests.items()}
+
+
+def _counted(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Per column: position, missing count and rate, the first three raw values, and the given counts.
+
+    One pass counts per column and band of row numbers; its totals and the bounds for the samples follow from it.
+    """
     columns = data_columns(df)
     long = cells(df)
-    # one pass counts per column and band; its totals and the bounds for the samples follow from it
     banded = long.groupBy("field", band().alias("_band")).agg(
-        F.count("*").alias("total"), F.count_if("missing").alias("missing_cnt")
-    )
-    counts = banded.groupBy("field").agg(
-        F.sum("total").alias("total"), F.sum("missing_cnt").alias("missing_cnt")
+        F.count("*").alias("total"), F.count_if("missing").alias("missing_cnt"), *(c.alias(n) for n, c in measures.items())
     )
+    counts = banded.groupBy("field").agg(*(F.sum(c).alias(c) for c in ("total", "missing_cnt", *measures)))
     filled = banded.select("field", "_band", (F.col("total") - F.col("missing_cnt")).alias("_n"))
     first = first_k(long.where(~F.col("missing")), ["field"], SAMPLE_VALUES, len(columns), filled)
     shown = samples(first, ["field"], "value", "sample_values")
@@ -34,12 +47,19 @@ def field_stats(df: DataFrame) -> DataFrame:
     return counts.join(small_side(shown, len(columns)), "field", "left").select(
         field_position(columns).alias("position"),
         F.col("field").alias("field_name"),
+        "total",
         "missing_cnt",
         rate.alias("missing_rate"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        *measures,
     )
 
 
+def field_stats(df: DataFrame) -> DataFrame:
+    """Per column: position, missing count, missing rate and the first three raw values."""
+    return _counted(df, {}).drop("total")
+
+
 def _label(n: Column, ints: Column, floats: Column, thousands: Column, bools: Column, dates: Column):
     """Ordered rules from shape counts to ``(label, hint)``."""
     numbers = ints + floats
@@ -63,19 +83,17 @@ def _label(n: Column, ints: Column, floats: Column, thousands: Column, bools: Co
     return label, hint
 
 
+def _labels(n: Column) -> tuple[Column, Column]:
+    return _label(n, *[F.col(c) for c in ("ints", "floats", "thousands", "bools", "dates")])
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Label every column from the shapes of all its non-missing values."""
     columns = data_columns(df)
-    value = F.col("text")
     counts = cells(df).where(~F.col("missing")).groupBy("field").agg(
-        F.count("*").alias("n"),
-        F.count_if(value.rlike(T.INTEGER)).alias("ints"),
-        F.count_if(value.rlike(T.FLOAT)).alias("floats"),
-        F.count_if(T.thousands_shaped(value)).alias("thousands"),
-        F.count_if(value.rlike(T.BOOLEAN)).alias("bools"),
-        F.count_if(D.date_shaped(value)).alias("dates"),
+        F.count("*").alias("n"), *(c.alias(n) for n, c in _shape_counts().items())
     )
-    label, hint = _label(*[F.col(c) for c in ("n", "ints", "floats", "thousands", "bools", "dates")])
+    label, hint = _labels(F.col("n"))
     # a column without any value yields no row above: it is text
     names = F.explode(F.array(*[F.lit(c) for c in columns]))
     every = df.sparkSession.range(1).select(names.alias("field"))
@@ -107,9 +125,8 @@ def display_types(fields: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def field_catalog(df: DataFrame) -> DataFrame:
-    """Everything the catalog keeps about the columns of one table."""
-    return field_stats(df).join(
-        infer_types(df).drop("position"), "field_name"
-    ).select(
-        "position", "field_name", "inferred_type", "hint", "missing_cnt", "missing_rate", "sample_values"
-    )
+    """Everything the catalog keeps about the columns of one table; shapes and gaps are counted together."""
+    label, hint = _labels(F.col("total") - F.col("missing_cnt"))
+    return _counted(df, _shape_counts()).select(
+        "position", "field_name", label.alias("inferred_type"), hint.alias("hint"), "missing_cnt", "missing_rate", "sample_values"
+    )

@@ -209,6 +209,19 @@ def t2(t: Tables):
     return G.page(t.snippets, G.snippet_order(), 3, 20).select("id", "title", "use_count")
 
 
+@query(
+    "t2_page_with_total",
+    duck(
+        """SELECT id, name, (SELECT count(*) FROM docs WHERE category_id = 103) AS total FROM docs
+        WHERE category_id = 103 ORDER BY id DESC LIMIT 5 OFFSET 5""",
+        "docs",
+    ),
+)
+def t2_total(t: Tables):
+    """Newest first."""
+    return G.page_with_total(t.docs.where("category_id = 103"), [F.desc("id")], 2, 5).select("id", "name", "total")
+
+
 @query(
     "t2_page_after",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000 ORDER BY o_orderkey DESC LIMIT 50",

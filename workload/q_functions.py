@@ -19,6 +19,7 @@ from tidymill.sources.encodings import detect_encodings
 from tidymill.sources.guard import guarded_select
 from tidymill.sources.numbering import renumber
 from tidymill.sources.text_tables import head_rows, read_text_table
+from tidymill.sources.versions import export_events
 from workload import fixtures as X
 from workload.fixtures import Tables, duck
 from workload.registry import query
@@ -252,6 +253,12 @@ def f19(t: Tables):
     )
 
 
+@query("f15_summary_text", f"SELECT doc_id, {X.strip('text')}[1:300] AS summary FROM documents WHERE text IS NOT NULL")
+def f15(t: Tables):
+    held = t.documents.where("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return held.select("doc_id", M.summary_text(F.col("content"), 300).alias("summary"))
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 _SELECT = """SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_orderkey) AS last_key
@@ -318,6 +325,30 @@ def s1_numbers(t: Tables):
     )
 
 
+_PARAMS = """CASE WHEN json_valid(params_json) THEN params_json ELSE '{}' END"""
+
+
+@query(
+    "s9_export_events",
+    duck(
+        f"""SELECT id, event, json_extract_string({_PARAMS}, '$.ticket_id') AS ticket_id,
+            json_extract_string({_PARAMS}, '$.confirm_result') AS confirm_result, count(*) OVER (PARTITION BY event) AS cnt
+        FROM event_log""",
+        "event_log",
+    ),
+)
+def s9(t: Tables):
+    """Both exported files, read back."""
+    folder = f"{checkpoint_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    export_events(t.event_log, folder)
+    schema = "id bigint, event string, params map<string,string>"
+    events = t.spark.read.schema(schema).json(f"{folder}/events")
+    counts = t.spark.read.schema("event string, cnt bigint").json(f"{folder}/summary")
+    return events.join(counts, "event").select(
+        "id", "event", F.col("params")["ticket_id"].alias("ticket_id"), F.col("params")["confirm_result"].alias("confirm_result"), "cnt"
+    )
+
+
 @query(
     "s2_detect_encodings",
     """SELECT DISTINCT doc_id % 4 AS kind, CASE doc_id % 4 WHEN 1 THEN 'gbk' WHEN 2 THEN NULL ELSE 'utf-8' END AS encoding,
