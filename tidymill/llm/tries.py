@@ -41,21 +41,24 @@ def rebuilt_turns(
     absent) and goes on with its own turns after its first ``h``; ``h`` is the CRC-32 of its decimal id modulo
     ``heads``. Returns ``(conv_id, place, digest, words)`` with places from 0, and ``(conv_id, n_turns)``.
 
-    Positions come from a range-partitioned sort that is written once: rows of a partition are counted per
-    conversation, and offsets run over those counts. So a conversation of any length is spread over tasks.
+    Turns are digested once and written; positions come from a range-partitioned sort of the digests that is written
+    as well: rows of a partition are counted per conversation, and offsets run over those counts. So a
+    conversation of any length is spread over tasks.
 
     Defined cases: null roles and texts are empty; a null turn comes first; turns that tie are ordered by the
     digest of role and text; repeated rows are turns of their own; rows without an id belong to no conversation.
     """
     role = F.coalesce(conversations[role_col].cast("string"), F.lit(""))
     text = F.coalesce(conversations[text_col].cast("string"), F.lit(""))
-    turns = conversations.select(
+    digested = conversations.select(
         conversations[id_col].cast("bigint").alias("conv_id"),
         conversations[order_col].cast("bigint").alias("turn"),
         F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)).alias("digest"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words"),
         F.monotonically_increasing_id().alias("at"),
     ).filter("conv_id IS NOT NULL")
+    # the sort samples its input before it runs
+    turns = pin(digested)
     order = ["conv_id", "turn", "digest", "at"]
     ordered = pin(
         turns.repartitionByRange(*order)
