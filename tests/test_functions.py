@@ -60,7 +60,7 @@ def test_format_value(spark):
         ("2026-13-01", False, None),
         ("2026-09-32", False, None),
         ("2026-09-01 24:00", False, None),
-        ("20260901", False, None),
+        ("20260901", False, "2026-09-01"),
         ("soon", False, None),
     ],
 )
