@@ -232,7 +232,8 @@ def flagged_cells(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
         "rule": F.coalesce(rule, F.lit(False)),
         "sigma": F.coalesce(sigma, F.lit(False)),
     }
-    parsed = measured.withColumn("number", T.parse_number(F.col("text")))
+    # a generator of one row: the filter below would form the number again at each comparison
+    parsed = measured.select("*", F.explode(F.array(T.parse_number(F.col("text")))).alias("number"))
     return parsed.withColumns(verdicts).where(F.col("rule") | F.col("sigma"))
 
 

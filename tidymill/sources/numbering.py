@@ -113,7 +113,8 @@ def number_in_order(df: DataFrame, order: Sequence[Key]) -> DataFrame:
     ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [f"_k{i}" for i in range(len(order))]
     others = [c for c in df.columns if c != ROW_NO]
-    keyed = df.select(*others, *(k.column.alias(n) for k, n in zip(order, names)))
+    # a generator of one row forms the keys once; as plain columns they would be formed again at each comparison
+    keyed = df.select(*others, F.inline(F.array(F.struct(*(k.column.alias(n) for k, n in zip(order, names))))))
     sample = keyed.select(*names).orderBy(F.xxhash64(*names), *names).limit(ranges * SAMPLED)
     place = F.row_number().over(Window.orderBy(*(Key(F.col(n), k.down, k.nulls_last).ordered() for k, n in zip(order, names))))
     every = sample.select(F.struct(*names).alias("_s"), place.alias("_p"), F.count("*").over(Window.partitionBy()).alias("_of"))
