@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -274,6 +275,14 @@ def test_quality(spark):
     assert all(scores[i] >= 0.5 for i, _ in good[40:]) and all(scores[i] < 0.5 for i, _ in bad[40:])
     assert 0 <= scores[2000] == scores[2001] <= 1 and len(scores) == 123
     assert accepted(frame, model).columns == frame.columns
+    # rows that repeat an id are learned from once, copies and other texts alike
+    labelled = spark.createDataFrame(labels, "doc_id bigint, label int")
+    again = train_quality(frame.union(frame).union(frame), labelled)
+    assert {r.doc_id: r.score for r in score_quality(frame, again).collect()} == scores
+    other = frame.union(spark.createDataFrame([(good[0][0], prose(50, 77))], "doc_id bigint, text string"))
+    first, second = (train_quality(f, labelled) for f in (other, other.repartition(5, "text")))
+    rows = pa.RecordBatch.from_arrays([pa.array([t or "" for _, t in good + bad])], ["text"])
+    assert (first.scores(rows) == second.scores(rows)).all()
 
 
 def test_packing(docs):

@@ -137,7 +137,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col
     """Fit on whole texts of at most ``sample`` labelled rows, those with the smallest hashes of their id.
 
     ``labels`` has ``doc_id`` and ``label`` (0 or 1). ``sample`` bounds what the driver and the join hold; scoring is
-    not limited by it. Without any labelled text every score is 0.5.
+    not limited by it. Of rows that repeat an id one is taken, whose histogram is first in byte order, so neither copies nor
+    different texts under one id add to what is collected. Without any labelled text every score is 0.5.
     """
     chosen = (
         labels.filter("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -150,7 +151,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col
         texts(docs, id_col, text_col)
         .join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
         .mapInArrow(_histograms, "doc_id bigint, label int, buckets binary, counts binary")
-        .collect()
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.struct("buckets", "counts")).alias("_one"))  # an id may have many rows; one of them is learned from
+        .select("doc_id", "label", "_one.buckets", "_one.counts")
+        .collect()  # at most `sample` rows
     )
     rows = sorted(found, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     unpack = lambda x: np.frombuffer(bytes(x), "<u4").astype(np.int64)
